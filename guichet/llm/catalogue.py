@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import grappes, jetons, melange, quantiles, similarite
+from guichet.llm import grappes, jetons, melange, quantiles, similarite, troncature
 from guichet.session import cut, load
 
 P2 = dict(texts=["titre", "suivis_description"], least=20, threshold=0.6)
@@ -80,5 +80,20 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     return melange.shares(*_mix(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return troncature.truncated(load(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_taux(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return troncature.rates(load(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_limites(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden length limits of each source, by the way of counting that shows them."""
+    return troncature.limits(load(spark, d, "documents"), "doc_id", "text", "source")
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
 ORACLES: dict[str, str] = {}
