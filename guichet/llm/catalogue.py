@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import grappes, jetons, melange, quantiles, similarite, troncature
+from guichet.llm import grappes, jetons, melange, personnes, quantiles, similarite, troncature
 from guichet.session import cut, load
 
 P2 = dict(texts=["titre", "suivis_description"], least=20, threshold=0.6)
@@ -13,6 +13,26 @@ P3 = dict(texts=["titre", "solution"], least=25, threshold=0.55)
 RANKS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
+FREE_TEXTS = ["suivis_description", "solution", "taches_description"]
+#: The pseudonym key of the queries; a deployment passes its own secret.
+KEY = b"guichet-demo-key"
+
+
+def _given(spark: SparkSession, d: str) -> frozenset[str]:
+    return personnes.given_names(load(spark, d, "tickets"), ["demandeur", "technicien_principal"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each different piece of personal data in a ticket's free texts."""
+    return personnes.find(load(spark, d, "tickets"), "id", FREE_TEXTS, _given(spark, d))
+
+
+def p1_masque(spark: SparkSession, d: str) -> DataFrame:
+    """The free texts with each piece replaced by a typed, linked placeholder."""
+    t = load(spark, d, "tickets").select("id", "import_id", *FREE_TEXTS)
+    return personnes.mask(t, FREE_TEXTS, _given(spark, d), KEY)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of tickets with nearly the same title and follow-ups."""
     return similarite.expand_pairs(*similarite.linked_classes(load(spark, d, "tickets"), "id", **P2))
@@ -95,5 +115,5 @@ def p10_limites(spark: SparkSession, d: str) -> DataFrame:
     return troncature.limits(load(spark, d, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_masque, p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
 ORACLES: dict[str, str] = {}
