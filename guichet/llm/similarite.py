@@ -34,6 +34,8 @@ WIDTH = 5  # bytes of a word hash
 BUCKET_BITS = 18  # word frequencies are counted in 2**18 hash buckets: a fixed 2 MB, however large the vocabulary
 #: A cell beyond so many records is split into blocks that meet pairwise in tasks of their own.
 CELL = 20_000
+PAIRS = 1_000_000  # found pairs a task holds before it drops repeated ones and sends the rest
+SKETCH = ("s1", "s2", "s3", "s4")
 _STEP = 512  # rows of one vectorised comparison
 _EPS = 1e-9
 
@@ -152,16 +154,16 @@ def _prefixes(h: np.ndarray, lengths: np.ndarray, freq: np.ndarray, bounds: Boun
 
 
 def _sketches(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """128 parity bits per row as two words."""
+    """256 parity bits per row as four words."""
     row = np.repeat(np.arange(len(lengths)), lengths)
-    bit = (h >> np.uint64(BUCKET_BITS)) & np.uint64(127)
-    out = np.zeros((len(lengths), 2), np.uint64)
+    bit = (h >> np.uint64(BUCKET_BITS)) & np.uint64(255)
+    out = np.zeros((len(lengths), 4), np.uint64)
     np.bitwise_xor.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
 def cell_rows(sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """``cle, bloc, cote, classe, n, pos, s1, s2``: each class in the cells of its prefix words.
+    """``cle, bloc, cote, classe, n, pos, s1..s4``: each class in the cells of its prefix words.
 
     Cells that would hold more than ``CELL`` records are cut into g blocks; a record goes to the g
     cells (its block, any block), on the side of its block, so that every two records still meet once.
@@ -186,7 +188,7 @@ def cell_rows(sets: DataFrame, bounds: Bounds) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
     blocks = spark.sparkContext.broadcast(-(-_sum_buckets(source.mapInArrow(count_cells, "b int, n long")) // CELL))
-    schema = pa.schema([("cle", pa.int64()), ("bloc", pa.int32()), ("cote", pa.int32()), ("classe", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("cle", pa.int64()), ("bloc", pa.int32()), ("cote", pa.int32()), ("classe", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((k, pa.int64()) for k in SKETCH)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for classes, blobs in _unseen(batches):
@@ -204,12 +206,12 @@ def cell_rows(sets: DataFrame, bounds: Bounds) -> DataFrame:
                 [
                     pa.array(word[times].astype(np.int64)), pa.array((low * 65536 + high).astype(np.int32)), pa.array(np.where(low == high, 0, np.where(mine == low, 1, 2)).astype(np.int32)),
                     pa.array(classes[r]), pa.array(lengths[r].astype(np.int32)), pa.array(pos[times].astype(np.int32)),
-                    pa.array(sketch[r, 0].view(np.int64)), pa.array(sketch[r, 1].view(np.int64)),
+                    *(pa.array(np.ascontiguousarray(sketch[r, k]).view(np.int64)) for k in range(len(SKETCH))),
                 ],
                 schema=schema,
             )
 
-    return source.mapInArrow(emit, "cle long, bloc int, cote int, classe long, n int, pos int, s1 long, s2 long")
+    return source.mapInArrow(emit, "cle long, bloc int, cote int, classe long, n int, pos int, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
 def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,7 +239,7 @@ def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarr
                 p, q = ka[p], kb[q]
                 sa, sb = na[p], nb[q]
                 o = bounds.overlap(sa, sb)
-                dd = np.bitwise_count(x["s1"][p] ^ y["s1"][q]).astype(int) + np.bitwise_count(x["s2"][p] ^ y["s2"][q])
+                dd = sum(np.bitwise_count(x[k][p] ^ y[k][q]).astype(np.int64) for k in SKETCH)
                 good = (dd <= sa + sb - 2 * o) & (x["pos"][p] <= sa - o) & (y["pos"][q] <= sb - o) & (x["classe"][p] != y["classe"][q]) & (sb <= sa)
                 if same:
                     good &= (sb < sa) | (q + j < p + i)
@@ -248,9 +250,9 @@ def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarr
 
 def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
     """``a, b`` (distinct class pairs, a < b) of all cells, group by group over sorted partitions."""
-    names = ["classe", "n", "pos", "s1", "s2"]
+    names = ["classe", "n", "pos", *SKETCH]
 
-    def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def solve(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
         side, order = part[2], None
         groups = []
         for s in (0, 1, 2):
@@ -260,18 +262,39 @@ def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
             order = order[np.sort(first)]
             groups.append({k: part[3 + m][order] for m, k in enumerate(names)})
         for g in groups:
-            g["s1"], g["s2"] = g["s1"].view(np.uint64), g["s2"].view(np.uint64)
+            g |= {k: g[k].view(np.uint64) for k in SKETCH}
         found = []
         if len(groups[0]["n"]) > 1:
             found += _compare(groups[0], None, bounds)
         if len(groups[1]["n"]) and len(groups[2]["n"]):
             found += _compare(groups[1], groups[2], bounds)
-        if found:
-            a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not found:
+            return None
+        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def different(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of a task, each once per ``PAIRS`` found."""
+        waiting, n = [], 0
+        for pair in run(batches):
+            if pair is not None:
+                waiting.append(pair)
+                n += len(pair[0])
+                if n > PAIRS:
+                    yield different(waiting)
+                    waiting, n = [], 0
+        if waiting:
+            yield different(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         held: list[np.ndarray] | None = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -280,14 +303,15 @@ def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
             begin = 0
             for end in change:
                 if end - begin > 1:
-                    yield from solve([c[begin:end] for c in held])
+                    yield solve([c[begin:end] for c in held])
                 begin = end
             held = [c[begin:] for c in held]
         if held is not None and len(held[0]) > 1:
-            yield from solve(held)
+            yield solve(held)
 
     placed = cells.repartition("cle", "bloc").sortWithinPartitions("cle", "bloc")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    # Placed by a, as the next join wants them: the distinct needs no shuffle of its own.
+    return placed.mapInArrow(gathered, "a long, b long").repartition("a").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
