@@ -234,7 +234,7 @@ def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarr
                 kb = np.nonzero(y["pos"] <= nb - bounds.overlap(np.maximum(na[0], nb), nb))[0]
                 if not len(ka) or not len(kb):
                     continue
-                d = np.bitwise_count(x["s1"][ka, None] ^ y["s1"][None, kb]) + np.bitwise_count(x["s2"][ka, None] ^ y["s2"][None, kb])
+                d = np.bitwise_count(x["f1"][ka, None] ^ y["f1"][None, kb]) + np.bitwise_count(x["f2"][ka, None] ^ y["f2"][None, kb])
                 p, q = np.nonzero(d <= np.uint8(min(255, int((1 - 2 * bounds.k) * (na[-1] + nb[-1]) + _EPS))))
                 p, q = ka[p], kb[q]
                 sa, sb = na[p], nb[q]
@@ -263,6 +263,7 @@ def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
             groups.append({k: part[3 + m][order] for m, k in enumerate(names)})
         for g in groups:
             g |= {k: g[k].view(np.uint64) for k in SKETCH}
+            g |= {"f1": g["s1"] ^ g["s3"], "f2": g["s2"] ^ g["s4"]}  # folded: the parity sketch of half the bits
         found = []
         if len(groups[0]["n"]) > 1:
             found += _compare(groups[0], None, bounds)
