@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from guichet.plans import donnees
+from guichet.plans import donnees, flux, stock
 
 QUERIES = dict(donnees.QUERIES)
 ORACLES: dict[str, str] = {}
+for _module in (stock, flux):
+    QUERIES |= _module.query.queries
+    ORACLES |= _module.query.oracles
