@@ -102,7 +102,7 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text was cut off."""
-    return troncature.truncated(load(spark, d, "documents"), "doc_id", "text")
+    return troncature.truncated(load(spark, d, "documents"), "doc_id", "text", "source")
 
 
 def p10_taux(spark: SparkSession, d: str) -> DataFrame:

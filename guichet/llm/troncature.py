@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guichet.session import cut
+
 # Closings that end a text without a full stop, lower case.
 CLOSINGS = (
     "cordialement", "bien cordialement", "bien à vous", "merci", "merci d'avance", "merci beaucoup", "bonne journée", "bonne réception", "sincères salutations",
@@ -28,6 +30,8 @@ LINE_SHARE, LINE_LEAST, LINE_CHARS = 0.0005, 4, 60
 LIMIT_TIMES, LIMIT_LEAST = 5.0, 6
 _AROUND = 15
 _BLANK = r"[\s\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF]"
+_TRAILING = " \t\n\r\x0b\x0c\u00a0\u1680\u2007\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
+_TAIL = 64  # characters of an ending: longer than any form looked for there
 _ELLIPSIS = r"(?:\[\.\.\.\]|\[…\]|…|\.\.\.)$"
 
 
@@ -78,46 +82,75 @@ def _line_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"\u00e3[\u0080-\u2122]|[a-z]\p{M}+|[^\x00-\x7F]", "?")
 
 
+def _bare(c: Column) -> Column:
+    """Without trailing blanks of any kind; looks at the end only."""
+    return F.rtrim(c, F.lit(_TRAILING))
+
+
 def endings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, texte, fin, ligne``: the text without trailing blanks and cut marks, whether a mark stood there, its last line."""
-    d = df.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull()).select(key, F.regexp_replace("_t", rf"{_BLANK}+$", "").alias("_t")).where(F.col("_t") != "")
-    d = d.withColumns({"marque": F.col("_t").rlike(_ELLIPSIS), "texte": F.regexp_replace(F.regexp_replace("_t", _ELLIPSIS, ""), rf"{_BLANK}+$", "")})
-    return d.select(key, "marque", "texte", F.trim(F.element_at(F.split("texte", r"\n|<br\s*/?>"), -1)).alias("ligne"))
+    """``key, dans_balise, entier, entree, entree_numerotee, cle_ligne, empreinte``: what the end of each text that isn't blank shows.
+
+    The whole text is read once; what is kept of it is flags, the key of a short last line and a digest.
+    """
+    d = df.select(key, _bare(F.col(text)).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
+    mark = F.when(F.col("_t").rlike(r"\[(?:\.\.\.|…)\]\z"), F.regexp_replace("_t", r"\[(?:\.\.\.|…)\]\z", "")).when(F.endswith("_t", F.lit("…")), F.expr("left(_t, length(_t) - 1)")).when(F.endswith("_t", F.lit("...")), F.expr("left(_t, length(_t) - 3)"))
+    d = d.withColumns({"_m": F.when(F.right("_t", F.lit(5)).rlike(_ELLIPSIS), mark)}).withColumn("_x", F.coalesce(_bare(F.col("_m")), F.col("_t")))
+    d = d.withColumns({"_fin": F.right("_x", F.lit(_TAIL)), "_ligne": F.trim(F.substring_index("_x", "\n", -1))})
+    d = d.withColumns({"_ligne": F.trim(F.element_at(F.split("_ligne", r"<br\s*/?>"), -1)), "_ouvert": F.substring_index("_x", "<", -1)})
+    end, line, opened = F.col("_fin"), F.col("_ligne"), F.col("_ouvert")
+    in_tag = F.contains("_x", F.lit("<")) & ~F.contains(opened, F.lit(">")) & opened.rlike(r"^(?:[A-Za-z/]|$)")
+    open_tag = in_tag | end.rlike(r"(?i)<(?:p|div|li|span|td)>$")
+    part_number = end.rlike(r"(?:\bv\d+(?:\.\d+)?|[^\d.]10\.\d{1,3}(?:\.\d{1,3})?)\.$")  # version or address with parts missing
+    stopped = end.rlike(r"[.!?]['\"»)\]]{0,8}$") | end.rlike(r"(?i)</[a-z0-9]+>$") | end.rlike(r"(?i)<br\s*/?>$")
+    entry = line.rlike(r"^[-*•] \S")
+    reference = line.rlike(r"^[^\s\d]{2,12} [A-Z]{1,5}-\d+$")
+    framed = line.rlike(r"^\[.*\]$|^\(.*\)$")
+    closing = F.lower(F.regexp_replace(line, r"[,;:]$", "")).isin(*CLOSINGS)
+    announced = F.col("_m").isNotNull() & F.lower(end).rlike("(?:" + "|".join(CONTINUED) + ")$")
+    short = (F.length(line) <= LINE_CHARS) & (F.length(line) > 1)
+    return d.where(F.col("_x") != "").select(
+        key, open_tag.alias("dans_balise"), ((stopped & ~part_number) | reference | framed | closing | announced).alias("entier"), entry.alias("entree"), (entry & line.rlike(r"\d$")).alias("entree_numerotee"), F.when(short, _line_key(line)).alias("cle_ligne"), F.xxhash64("_x").alias("empreinte")
+    )
 
 
 def customary(ends: DataFrame) -> DataFrame:
     """``cle_ligne``: last lines shared by many different texts. At most 1 / LINE_SHARE rows, however many texts."""
-    every = ends.select(F.xxhash64("texte").alias("_h"), "ligne").distinct()
-    short = every.where((F.length("ligne") <= LINE_CHARS) & (F.length("ligne") > 1)).groupBy(_line_key(F.col("ligne")).alias("cle_ligne")).agg(F.count_distinct("_h").alias("_n"))
-    least = max(LINE_LEAST, LINE_SHARE * every.count())
-    return short.where(F.col("_n") >= F.lit(least)).select("cle_ligne")
+    least = max(LINE_LEAST, LINE_SHARE * ends.select("empreinte").distinct().count())
+    short = ends.where(F.col("cle_ligne").isNotNull()).select("cle_ligne", "empreinte").distinct().groupBy("cle_ligne").agg(F.count(F.lit(1)).alias("_n"))
+    return short.where(F.col("_n") >= F.lit(least)).select(F.col("cle_ligne").alias("_usuelle"))
 
 
-def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
+def at_limit(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``key`` (distinct) of the texts whose length, counted in some way, is a hidden limit of their source.
+
+    A byte limit that would split a character leaves the text up to three bytes shorter.
+    """
+    known = limits(df, key, text, source).select(F.col("source").alias("_s"), F.col("mesure").alias("_m"), "limite")
+    on = (F.col("source") == F.col("_s")) & (F.col("mesure") == F.col("_m"))
+    slack = F.when(F.startswith("mesure", F.lit("utf8")), 3).otherwise(0)
+    return lengths(df, key, text, source).join(known, on).where((F.col("longueur") <= F.col("limite")) & (F.col("longueur") >= F.col("limite") - slack)).select(key).distinct()
+
+
+def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``key``: documents whose text stops within a word, sentence or tag.
 
-    Null, empty and blank texts aren't cut. A cut mark (``...``) counts only where the text before it is
-    unfinished. Repeated texts are judged alike, each row for itself.
+    Lengths first: texts as long as a hidden limit of their source are suspects, of which a last list
+    entry must also be complete. Then endings: a text that isn't finished by a stop, tag, closing,
+    reference or entry was cut. Null, empty and blank texts aren't cut. A cut mark (``...``) counts only
+    where the text before it is unfinished. Repeated texts are judged alike, each row for itself; null
+    sources have no limits.
     """
-    ends = endings(df, key, text)
+    ends = cut(endings(df, key, text), "fins")
     known = F.broadcast(customary(ends))  # bounded: see customary
-    t, line = F.col("texte"), F.col("ligne")
-    open_tag = t.rlike(r"<[A-Za-z/][^<>]*$") | t.rlike(r"<$") | t.rlike(r"(?i)<(?:p|div|li|span|td)>$")
-    part_number = t.rlike(r"(?:\bv\d+(?:\.\d+)?|[^\d.]10\.\d{1,3}(?:\.\d{1,3})?)\.$")  # version or address with parts missing
-    stopped = t.rlike(r"[.!?]['\"»)\]]*$") | t.rlike(r"(?i)</[a-z0-9]+>$") | t.rlike(r"(?i)<br\s*/?>$")
-    entry = line.rlike(r"^[-*•] \S")
-    reference = line.rlike(r"^[^\s\d]{2,12} [A-Z]{1,5}-\d+$")
-    framed = line.rlike(r"^\[.*\]$|^\(.*\)$")
-    closing = F.lower(F.regexp_replace(line, r"[,;:]$", "")).isin(*CLOSINGS)
-    announced = F.col("marque") & F.lower(t).rlike("(?:" + "|".join(CONTINUED) + ")$")
-    whole = (stopped & ~part_number) | entry | reference | framed | closing | announced | F.col("cle_ligne").isNotNull()
-    judged = ends.withColumn("_k", _line_key(F.col("ligne"))).join(known, F.col("_k") == F.col("cle_ligne"), "left")
-    return judged.where((t != "") & (open_tag | ~whole)).select(key)
+    suspects = at_limit(df, key, text, source).select(F.col(key).alias("_cle"))
+    judged = ends.join(known, F.col("cle_ligne") == F.col("_usuelle"), "left").join(suspects, F.col(key) == F.col("_cle"), "left")
+    entry = F.col("entree") & (F.col("_cle").isNull() | F.col("entree_numerotee"))
+    return judged.where(F.col("dans_balise") | ~(F.col("entier") | entry | F.col("_usuelle").isNotNull())).select(key)
 
 
 def rates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``source, textes, coupes, taux``: how often each source truncates (over texts that aren't blank)."""
-    cut_ids = truncated(df, key, text).distinct().withColumnRenamed(key, "_k")
+    cut_ids = truncated(df, key, text, source).distinct().withColumnRenamed(key, "_k")
     filled = df.where(F.trim(F.regexp_replace(F.col(text), _BLANK, "")) != "").select(F.col(key), F.col(source).alias("source"))
     joined = filled.join(cut_ids, F.col(key) == F.col("_k"), "left")
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("textes"), F.count("_k").alias("coupes")).withColumn("taux", F.round(F.col("coupes") / F.col("textes"), 6))
