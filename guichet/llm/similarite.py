@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from guichet.session import cut
 
 WORD = re.compile(r"[^\W_]{4,}")
+_MARKS = regex.compile(r"\p{M}+")
 WIDTH = 5  # bytes of a word hash
 BUCKET_BITS = 18  # word frequencies are counted in 2**18 hash buckets: a fixed 2 MB, however large the vocabulary
 #: A cell beyond so many records is split into blocks that meet pairwise in tasks of their own.
@@ -44,8 +46,7 @@ def words_of(*texts: str | None) -> set[str]:
     """Unbroken runs of at least four letters or digits, decomposed, lower case, without marks."""
     s = " \n ".join(t for t in texts if t)
     if not s.isascii():
-        s = unicodedata.normalize("NFD", s)
-        s = "".join(c for c in s if c.isascii() or unicodedata.category(c)[0] != "M")
+        s = _MARKS.sub("", unicodedata.normalize("NFD", s))
     return set(WORD.findall(s.lower()))
 
 
