@@ -69,14 +69,18 @@ def _newest_durations(spark: SparkSession, d: str, extra: tuple[str, ...] = ())
     return quantiles.frequencies(now, ["groupe_principal", "technicien_principal"], duration, extra)
 
 
+def _seconds(found: DataFrame) -> DataFrame:
+    return found.select("dimension", "groupe", "n", "rang", F.round(F.col("valeur") / 1e6 + 1e-7, 4).alias("secondes"))
+
+
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles (microseconds) of the resolution time per group and per assignee."""
-    return quantiles.percentiles(_newest_durations(spark, d), RANKS)
+    """Exact percentiles (seconds) of the resolution time per group and per assignee; error bound 0."""
+    return _seconds(quantiles.percentiles(_newest_durations(spark, d), RANKS))
 
 
 def p7_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The same from partial tables, one per import of the newest state, merged."""
-    return quantiles.percentiles(quantiles.merge(_newest_durations(spark, d, ("import_id",))), RANKS)
+    return _seconds(quantiles.percentiles(quantiles.merge(_newest_durations(spark, d, ("import_id",))), RANKS))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -116,4 +120,27 @@ def p10_limites(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_masque, p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
-ORACLES: dict[str, str] = {}
+
+# Word sets in DuckDB: one row per different word of each ticket id.
+_WORDS_SQL = """w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(strip_accents(coalesce(titre, '') || ' ' || coalesce({body}, ''))), '[\\p{{L}}\\p{{N}}]{{4,}}')) AS m FROM tickets),
+ n AS (SELECT id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= {least}), v AS (SELECT w.id, m FROM w JOIN n USING (id)),
+ c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM v a JOIN v b ON a.m = b.m AND a.id < b.id GROUP BY 1, 2),
+ l AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= {t} * (x.n + y.n - c) - 1e-9)"""
+_P7_SQL = """WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY import_id DESC, derniere_modification DESC NULLS LAST, date_ouverture DESC NULLS LAST, date_resolution DESC NULLS LAST) AS rn FROM tickets) WHERE rn = 1),
+ d AS (SELECT 'groupe_principal' AS dimension, groupe_principal AS g, epoch_us(date_resolution) - epoch_us(date_ouverture) AS v FROM t UNION ALL
+ SELECT 'technicien_principal', technicien_principal, epoch_us(date_resolution) - epoch_us(date_ouverture) FROM t),
+ s AS (SELECT dimension, CASE WHEN trim(g) <> '' THEN g END AS groupe, count(*) AS n, {columns} FROM d WHERE v IS NOT NULL GROUP BY 1, 2)
+ {rows}"""
+_P7 = _P7_SQL.format(
+    columns=", ".join(f"quantile_cont(v::DOUBLE, {r}) AS q{i}" for i, r in enumerate(RANKS)),
+    rows=" UNION ALL ".join(f"SELECT dimension, groupe, n, {r}::DOUBLE AS rang, round(q{i} / 1e6 + 1e-7, 4) AS secondes FROM s" for i, r in enumerate(RANKS)),
+)
+ORACLES: dict[str, str] = {
+    "p7_percentiles": _P7,
+    "p7_fusion": _P7,
+    "p2_found": "WITH " + _WORDS_SQL.format(body="suivis_description", least=P2["least"], t=P2["threshold"]) + " SELECT id_a, id_b FROM l",
+    "p3_found": "WITH RECURSIVE " + _WORDS_SQL.format(body="solution", least=P3["least"], t=P3["threshold"])
+    + """, e AS (SELECT id_a AS a, id_b AS b FROM l UNION SELECT id_b, id_a FROM l), r AS (SELECT a AS id, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id),
+ k AS (SELECT id, min(g) AS groupe_id FROM r GROUP BY 1)
+ SELECT id, groupe_id FROM k WHERE groupe_id IN (SELECT groupe_id FROM k GROUP BY 1 HAVING count(*) >= 4)""",
+}

@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,8 +265,6 @@ def mask_text(text: str | None, given: frozenset[str], key: bytes) -> str | None
 
 def mask(df: DataFrame, columns: list[str], given: frozenset[str], key: bytes) -> DataFrame:
     """``df`` with the columns masked in place; all other columns and all rows as they are."""
-    import pandas as pd
-
     known = df.sparkSession.sparkContext.broadcast(given)
 
     @F.pandas_udf("string")
