@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from guichet.plans import donnees, flux, stock
+from guichet.plans import donnees, flux, fouille, stock
 
 QUERIES = dict(donnees.QUERIES)
 ORACLES: dict[str, str] = {}
-for _module in (stock, flux):
+for _module in (stock, flux, fouille):
     QUERIES |= _module.query.queries
     ORACLES |= _module.query.oracles
