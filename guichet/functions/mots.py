@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,9 +55,8 @@ def cleaned(text: Column, phrases: tuple[str, ...] = ()) -> Column:
 def tokens(text: Column, stop: tuple[str, ...] | list[str] = (*FRENCH, *SERVICE_DESK), phrases: tuple[str, ...] = ()) -> Column:
     """Words of 2 to 30 bytes that aren't stop words, in order, repeats kept. Null gives an empty array."""
     words = F.regexp_extract_all(cleaned(text, phrases), F.lit(TOKEN), F.lit(0))
-    stopped = F.array(*[F.lit(w) for w in stop]) if stop else None
     good = lambda w: (F.octet_length(w) >= BYTES[0]) & (F.octet_length(w) <= BYTES[1])
-    return F.filter(words, lambda w: good(w) & ~F.array_contains(stopped, w) if stop else good(w))
+    return F.filter(words, lambda w: good(w) & ~w.isin(*stop) if stop else good(w))
 
 
 def bigrams(words: Column) -> Column:
@@ -263,9 +263,75 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
     return jaro + common * scale * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def jaro_winkler_column(a: Column, b: Column) -> Column:
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), max(1, int(lengths.max(initial=1)))), np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return out, lengths
+
+
+def jaro_winkler_many(a: list[str], b: list[str], least: float = 0.0, scale: float = 0.1) -> np.ndarray:
+    """Similarities of pairs; pairs that can't exceed ``least`` come as 0.
+
+    An upper bound from the letters in common (positions disregarded) leaves most pairs out; the
+    others are matched for all pairs of a block at once, letter by letter.
+    """
+    names, at = np.unique(np.array([*a, *b], object), return_inverse=True)
+    codes, lengths = _codes(list(names))
+    bins = np.zeros((len(names), 64), np.uint16)
+    for k in range(codes.shape[1]):
+        rows = np.nonzero(lengths > k)[0]
+        np.add.at(bins, (rows, codes[rows, k] & 63), 1)
+    x, y = at[: len(a)], at[len(a) :]
+    la, lb = lengths[x], lengths[y]
+    out = np.zeros(len(a))
+    for begin in range(0, len(a), 2048):
+        p, q = x[begin : begin + 2048], y[begin : begin + 2048]
+        na, nb = np.maximum(lengths[p], 1), np.maximum(lengths[q], 1)
+        head = np.cumprod((codes[p, :4] == codes[q, :4]) & (np.arange(min(4, codes.shape[1])) < np.minimum(lengths[p], lengths[q])[:, None]), 1).sum(1)
+        most = np.minimum(bins[p], bins[q]).sum(1)
+        bound = (most / na + most / nb + (most > 0)) / 3
+        todo = np.nonzero((bound + head * scale * (1 - bound) > least) & (most > 0))[0]
+        if not len(todo):
+            continue
+        out[begin + todo] = _jaro_winkler_block(codes[p[todo]], codes[q[todo]], lengths[p[todo]], lengths[q[todo]], head[todo], scale)
+    same = (x == y) & (la >= 0) & (lb >= 0)
+    out[same] = 1.0
+    return out
+
+
+def _jaro_winkler_block(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, head: np.ndarray, scale: float) -> np.ndarray:
+    width_a, width_b = int(la.max()), int(lb.max())
+    a, b = a[:, :width_a], b[:, :width_b]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    j = np.arange(width_b)
+    free = j < lb[:, None]
+    hit_a = np.zeros(a.shape, bool)
+    hit_b = np.zeros(b.shape, bool)
+    rows = np.arange(len(a))
+    for i in range(width_a):
+        can = (b == a[:, i : i + 1]) & free & (j >= i - reach) & (j <= i + reach) & (i < la)[:, None]
+        first = can.argmax(1)
+        got = can[rows, first]
+        hit_a[:, i] = got
+        free[rows[got], first[got]] = False
+        hit_b[rows[got], first[got]] = True
+    m = hit_a.sum(1)
+    order_a, order_b = np.argsort(~hit_a, 1, kind="stable"), np.argsort(~hit_b, 1, kind="stable")
+    k = np.arange(min(width_a, width_b))
+    different = (np.take_along_axis(a, order_a, 1)[:, : len(k)] != np.take_along_axis(b, order_b, 1)[:, : len(k)]) & (k < m[:, None])
+    moved = different.sum(1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la.clip(1) + m / lb.clip(1) + (m - moved) / some) / 3, 0.0)
+    return np.where(jaro > 0.7, jaro + head * scale * (1 - jaro), jaro)
+
+
+def jaro_winkler_column(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Similarity of two text columns, nulls as empty; below ``least`` it may come as 0."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(p or "", q or "") for p, q in zip(x, y)])
+        return pd.Series(jaro_winkler_many(list(x.fillna("")), list(y.fillna("")), least))
 
     return run(a, b)

@@ -38,5 +38,5 @@ def similar_titles(df: DataFrame, threshold: float, small: int = SMALL, reach: i
     neighbours = F.when(F.col("taille") <= small, F.array(F.lit(-1).cast("long"))).otherwise(F.array(block, block - 1))
     b = r.select("groupe", F.explode(neighbours).alias("_b"), F.col("id").alias("_ib"), F.col("titre").alias("_tb"), F.col("pos").alias("_pb"))
     pairs = a.join(b, ["groupe", "_b"]).where((F.col("_pa") < F.col("_pb")) & ((F.col("_b") == -1) | (F.col("_pb") < F.col("_pa") + reach)))
-    scored = pairs.withColumn("similarite", jaro_winkler_column(F.col("_ta"), F.col("_tb"))).where(F.col("similarite") > threshold)
+    scored = pairs.withColumn("similarite", jaro_winkler_column(F.col("_ta"), F.col("_tb"), threshold)).where(F.col("similarite") > threshold)
     return scored.select(F.least("_ia", "_ib").alias("id_a"), F.greatest("_ia", "_ib").alias("id_b"), "similarite")

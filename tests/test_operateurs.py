@@ -70,6 +70,18 @@ def test_jaro_winkler():
     assert mots.jaro_winkler("", "") == 1.0 and mots.jaro_winkler("a", "") == 0.0
 
 
+def test_jaro_winkler_of_many_pairs():
+    import random
+
+    rnd = random.Random(2)
+    words = ["", "a", "martha", "marhta", "dixon", "dicksonx"] + ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    pairs = [(a, b) for a in words for b in words]
+    got = mots.jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(g - mots.jaro_winkler(a, b)) < 1e-12 for g, (a, b) in zip(got, pairs))
+    some = mots.jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs], 0.8)
+    assert all(abs(s - g) < 1e-12 or (s == 0 and g <= 0.8) for s, g in zip(some, got))
+
+
 def test_tfidf_unit_length_and_cooccurrence(spark):
     tf = corpus.counts(spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "d"]), (3, ["c", "d", "e"])], "id long, w array<string>"), "id", F.col("w"))
     w = corpus.tfidf(tf, 3)
