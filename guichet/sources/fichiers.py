@@ -21,6 +21,10 @@ HEADERS = {
 }
 
 
+#: Characters of Windows-1252 whose code ISO-8859-1 gives to a control character.
+_WESTERN = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
 class MissingColumns(ValueError):
     """Names every required column that is missing."""
 
@@ -63,9 +67,14 @@ def by_fields(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def read_delimited(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
     """Raw records of a delimited export: quoted fields may hold separators and line breaks, short rows are filled with
     nulls, cells beyond the header are dropped. An empty file is an error."""
-    df = spark.read.csv(path, sep=separator, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding_of(spark, path))
+    western = encoding_of(spark, path) != "UTF-8"
+    df = spark.read.csv(path, sep=separator, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="ISO-8859-1" if western else "UTF-8")
     if not df.columns:
         raise ValueError("empty file")
+    if western:  # read byte by byte; the places where Windows-1252 differs are translated
+        df = df.toDF(*[c.translate(_WESTERN) for c in df.columns])
+        old, new = "".join(map(chr, _WESTERN)), "".join(_WESTERN.values())
+        df = df.toDF(*[f"_{k}" for k in range(len(df.columns))]).select(*[F.translate(f"_{k}", old, new).alias(c) for k, c in enumerate(df.columns)])
     return by_fields(df)[0]
 
 

@@ -14,7 +14,7 @@ from guichet.streaming.flux_evenements import upsert_stream, windowed
 
 HEAD = ";".join(HEADERS)
 ROWS = [
-    '5 732 943;Écran noir;_DSI > _SUPPORT > _N2;Nouveau;"Anna Bel\nTom Cor";Ugo Dan;05-01-2026 16:24;Incident;"ligne 1\nligne ""2""";0;;;Haute;;4;;;A > B > C',
+    '5 732 943;Écran noir – 5 €;_DSI > _SUPPORT > _N2;Nouveau;"Anna Bel\nTom Cor";Ugo Dan;05-01-2026 16:24;Incident;"ligne 1\nligne ""2""";0;;;Haute;;4;;;A > B > C',
     "2;x;;Clos;;;2026-01-05;Demande;;;;;;;;;06-01-2026 10:00",
     "INVALID;x;;Clos;;;2026-01-05;Demande;;;;;;;;;;;trop",
 ]
@@ -26,7 +26,7 @@ def test_delimited(spark, tmp_path, encoding, mark):
     p.write_bytes(mark + "\n".join([HEAD.replace("Titre", " Titre "), *ROWS]).encode(encoding))
     assert encoding_of(spark, str(p)) == ("UTF-8" if encoding == "utf-8" else "windows-1252")
     got = read_export(spark, str(p)).collect()
-    assert [r.id for r in got] == ["5 732 943", "2", "INVALID"] and got[0].titre == "Écran noir" and got[0].suivis_description == 'ligne 1\nligne "2"' and got[1].categorie is None
+    assert [r.id for r in got] == ["5 732 943", "2", "INVALID"] and got[0].titre == "Écran noir – 5 €" and got[0].suivis_description == 'ligne 1\nligne "2"' and got[1].categorie is None
     assert decode(p.read_bytes()).startswith("ID")
 
 
