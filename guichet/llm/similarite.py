@@ -36,6 +36,7 @@ WIDTH = 5  # bytes of a word hash
 BUCKET_BITS = 18  # word frequencies are counted in 2**18 hash buckets: a fixed 2 MB, however large the vocabulary
 #: A cell beyond so many records is split into blocks that meet pairwise in tasks of their own.
 CELL = 20_000
+FEW = 64  # cells of at most so many records are compared together
 PAIRS = 1_000_000  # found pairs a task holds before it drops repeated ones and sends the rest
 SKETCH = ("s1", "s2", "s3", "s4")
 _STEP = 512  # rows of one vectorised comparison
@@ -249,6 +250,22 @@ def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarr
                 yield x["classe"][p[good]], y["classe"][q[good]]
 
 
+def _compare_small(part: list[np.ndarray], begin: np.ndarray, end: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Class pairs of many small cells (rows begin..end of ``part``) that pass size, position and sketch, in one go."""
+    size = end - begin
+    rows = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    partners = np.repeat(end, size) - rows - 1
+    x = np.repeat(rows, partners)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(partners) - partners, partners)
+    classe, n, pos = part[3], part[4].astype(np.int64), part[5]
+    o = bounds.overlap(n[x], n[y])
+    good = (pos[x] <= n[x] - o) & (pos[y] <= n[y] - o) & (classe[x] != classe[y]) & (np.minimum(n[x], n[y]) >= o)
+    x, y, o = x[good], y[good], o[good]
+    d = sum(np.bitwise_count(part[6 + k].view(np.uint64)[x] ^ part[6 + k].view(np.uint64)[y]).astype(np.int64) for k in range(len(SKETCH)))
+    good = d <= n[x] + n[y] - 2 * o
+    return np.minimum(classe[x[good]], classe[y[good]]), np.maximum(classe[x[good]], classe[y[good]])
+
+
 def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
     """``a, b`` (distinct class pairs, a < b) of all cells, group by group over sorted partitions."""
     names = ["classe", "n", "pos", *SKETCH]
@@ -302,12 +319,16 @@ def candidates(cells: DataFrame, bounds: Bounds) -> DataFrame:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             change = np.nonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))[0] + 1
-            begin = 0
-            for end in change:
-                if end - begin > 1:
-                    yield solve([c[begin:end] for c in held])
-                begin = end
-            held = [c[begin:] for c in held]
+            begin, end = np.concatenate([[0], change[:-1]]).astype(np.int64), change
+            if len(end):
+                whole = np.add.reduceat(held[2].astype(np.int64), begin) == 0  # not a block of a split cell
+                small = whole & (end - begin > 1) & (end - begin <= FEW)
+                if small.any():
+                    yield _compare_small(held, begin[small], end[small], bounds)
+                for b, e in zip(begin[~small], end[~small]):
+                    if e - b > 1:
+                        yield solve([c[b:e] for c in held])
+                held = [c[end[-1] :] for c in held]
         if held is not None and len(held[0]) > 1:
             yield solve(held)
 
