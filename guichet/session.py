@@ -42,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     only where it is unset (tests, local runs) a temporary one is made."""
     at = spark.conf.get(FOLDER_KEY, None) or spark.sparkContext.getConf().get(FOLDER_KEY, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{FOLDER_KEY} must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="guichet-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set(FOLDER_KEY, at)
