@@ -35,7 +35,7 @@ _MARKS = regex.compile(r"\p{M}+")
 WIDTH = 5  # bytes of a word hash
 BUCKET_BITS = 18  # word frequencies are counted in 2**18 hash buckets: a fixed 2 MB, however large the vocabulary
 #: A cell beyond so many records is split into blocks that meet pairwise in tasks of their own.
-CELL = 20_000
+CELL = 50_000
 FEW = 64  # cells of at most so many records are compared together
 PAIRS = 1_000_000  # found pairs a task holds before it drops repeated ones and sends the rest
 SKETCH = ("s1", "s2", "s3", "s4")
@@ -109,7 +109,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def _sum_buckets(counts: DataFrame) -> np.ndarray:
     """Bucket counts as one array of fixed length."""
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    for b, n in counts.groupBy("b").agg(F.sum("n")).toLocalIterator():
+    for b, n in counts.groupBy("b").agg(F.sum("n")).repartition(1).toLocalIterator():
         out[b] = n
     return out
 

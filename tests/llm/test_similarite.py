@@ -41,7 +41,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "x", None) for r in rows], "id long, titre string, corps string, classe int, mots string, a string")
 
 
-@pytest.mark.parametrize(("seed", "threshold", "cell"), [(1, 0.6, 20_000), (2, 0.55, 20_000), (3, 0.8, 20_000), (4, 0.6, 7), (5, 0.4, 7)])
+@pytest.mark.parametrize(("seed", "threshold", "cell"), [(1, 0.6, 50_000), (2, 0.55, 50_000), (3, 0.8, 50_000), (4, 0.6, 7), (5, 0.4, 7)])
 def test_all_pairs_are_found(spark, monkeypatch, seed, threshold, cell):
     monkeypatch.setattr(similarite, "CELL", cell)  # 7: every cell is split into blocks
     rows = corpus(seed)
