@@ -273,3 +273,48 @@ def events_hourly(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("window_start", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+
+
+@query(_PROFILE.replace("SELECT id, technicien, score, rang FROM (SELECT", "SELECT count(*) AS tickets, count(*) FILTER (score > 0.3) AS couverts, round(avg(coalesce(score, 0)) + 1e-9, 6) AS score_moyen FROM (SELECT id FROM t WHERE est_vivant AND coalesce(technicien_principal, '') = '') w LEFT JOIN (SELECT")
+       .replace("WHERE rang <= 3", "q ON q.id = w.id AND rang = 1"))
+def recommendation_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many unassigned tickets have a good first suggestion, and the mean first score (0 where there is none)."""
+    t = snapshot(spark, d, "est_vivant", "technicien_principal", "groupe_principal", "categorie_niveau1")
+    first = affectation.by_category(t, load(spark, d, "profils")).where("rang = 1").select("id", "score")
+    free = t.where(F.col("est_vivant") & ~F.coalesce(filled(F.col("technicien_principal")), F.lit(False))).select("id")
+    score = F.coalesce("score", F.lit(0.0))
+    return free.join(first, "id", "left").agg(F.count(F.lit(1)).alias("tickets"), F.count_if(score > 0.3).alias("couverts"), F.round(F.avg(score) + 1e-9, 6).alias("score_moyen"))
+
+
+_SUBSET = "(SELECT * FROM t WHERE id IN (SELECT id FROM t WHERE categorie_niveau1 = 'Logiciel'))"
+
+
+@query(f"""SELECT count(*) AS tickets, count(*) FILTER (est_vivant) AS vivants, round(avg(anciennete_jours) FILTER (NOT est_vivant) + 1e-9, 6) AS age_moyen_clos, quantile_cont(anciennete_jours, 0.5) FILTER (NOT est_vivant) AS age_median_clos,
+ count(*) FILTER (type_ticket = 'Incident') AS incidents, count(*) FILTER (type_ticket = 'Demande') AS demandes, count(*) FILTER (est_vivant AND anciennete_jours > 90) AS vivants_90, count(*) FILTER (est_vivant AND inactivite_jours > 14) AS inactifs_14 FROM {_SUBSET}""")
+def cluster_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Profile of a set of tickets given by ids (semi-join); the ages are those of closed tickets."""
+    t = _subset(spark, d, "est_vivant", "anciennete_jours", "inactivite_jours", "type_ticket")
+    live, closed = F.col("est_vivant"), F.when(~F.col("est_vivant"), F.col("anciennete_jours"))
+    return t.agg(
+        F.count(F.lit(1)).alias("tickets"), F.count_if(live).alias("vivants"), F.round(F.avg(closed) + 1e-9, 6).alias("age_moyen_clos"), F.percentile(closed, 0.5).alias("age_median_clos"),
+        F.count_if(F.col("type_ticket") == "Incident").alias("incidents"), F.count_if(F.col("type_ticket") == "Demande").alias("demandes"),
+        F.count_if(live & (F.col("anciennete_jours") > 90)).alias("vivants_90"), F.count_if(live & (F.col("inactivite_jours") > 14)).alias("inactifs_14"),
+    )
+
+
+def _subset(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    t = snapshot(spark, d, "categorie_niveau1", *columns)
+    return t.join(t.where(F.col("categorie_niveau1") == "Logiciel").select("id"), "id", "left_semi")
+
+
+@query(f"SELECT strftime(date_ouverture, '%Y-%m') AS periode, count(*) AS n FROM {_SUBSET} GROUP BY 1")
+def cluster_months(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly openings of the same set."""
+    return _subset(spark, d, "date_ouverture").groupBy(F.date_format("date_ouverture", "yyyy-MM").alias("periode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, regexp_replace(titre, '(?i)(serveur|réseau)', '<mark>\\1</mark>', 'g') AS extrait FROM t WHERE regexp_matches(titre, '(?i)(serveur|réseau)')")
+def search_highlight(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with the words looked for marked."""
+    words = r"(?iu)(serveur|réseau)"
+    return snapshot(spark, d, "titre").where(F.col("titre").rlike(words)).select("id", F.regexp_replace("titre", words, "<mark>$1</mark>").alias("extrait"))
