@@ -83,6 +83,11 @@ def p7_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _seconds(quantiles.percentiles(quantiles.merge(_newest_durations(spark, d, ("import_id",))), RANKS))
 
 
+def p7_partiels(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable partial result behind both: how often each duration occurs per group and import."""
+    return _newest_durations(spark, d, ("import_id",))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document by byte_bpe_50k."""
     return jetons.encode(load(spark, d, "documents"), "text", ["doc_id"])
@@ -119,7 +124,7 @@ def p10_limites(spark: SparkSession, d: str) -> DataFrame:
     return troncature.limits(load(spark, d, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_masque, p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_masque, p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p7_partiels, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}
 
 # Word sets in DuckDB: one row per different word of each ticket id.
 _WORDS_SQL = """w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(strip_accents(coalesce(titre, '') || ' ' || coalesce({body}, ''))), '[\\p{{L}}\\p{{N}}]{{4,}}')) AS m FROM tickets),
@@ -138,6 +143,7 @@ _P7 = _P7_SQL.format(
 ORACLES: dict[str, str] = {
     "p7_percentiles": _P7,
     "p7_fusion": _P7,
+    "p7_partiels": _P7_SQL.split(",\n s AS")[0].replace("AS g,", "AS g, import_id,").replace("technicien_principal, epoch_us", "technicien_principal, import_id, epoch_us") + " SELECT dimension, CASE WHEN trim(g) <> '' THEN g END AS groupe, import_id, v AS valeur, count(*) AS n FROM d WHERE v IS NOT NULL GROUP BY ALL",
     "p2_found": "WITH " + _WORDS_SQL.format(body="suivis_description", least=P2["least"], t=P2["threshold"]) + " SELECT id_a, id_b FROM l",
     "p3_found": "WITH RECURSIVE " + _WORDS_SQL.format(body="solution", least=P3["least"], t=P3["threshold"])
     + """, e AS (SELECT id_a AS a, id_b AS b FROM l UNION SELECT id_b, id_a FROM l), r AS (SELECT a AS id, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id),
