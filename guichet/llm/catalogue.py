@@ -121,7 +121,7 @@ def p10_taux(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_limites(spark: SparkSession, d: str) -> DataFrame:
     """Hidden length limits of each source, by the way of counting that shows them."""
-    return troncature.limits(load(spark, d, "documents"), "doc_id", "text", "source")
+    return troncature.limits(troncature.inspected(load(spark, d, "documents"), "doc_id", "text", "source"), "doc_id")
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_masque, p2_found, p2_groupes, p3_found, p3_grappes, p7_percentiles, p7_fusion, p7_partiels, p8_ids, p9_melange, p9_parts, p10_found, p10_taux, p10_limites)}

@@ -35,46 +35,64 @@ _TAIL = 64  # characters of an ending: longer than any form looked for there
 _ELLIPSIS = r"(?:\[\.\.\.\]|\[…\]|…|\.\.\.)$"
 
 
-def _many(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+MEASURES = ("caracteres", "utf8", "utf16", "entites", "json", "crlf", "utf8_crlf")
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Length of a text under each way of counting."""
+def _measures(text: Column) -> Column:
+    """Lengths of a text in the order of ``MEASURES``; single characters are counted by byte replacement."""
     chars, utf8 = F.length(text), F.octet_length(text)
-    newlines = _many(text, "\n") - F.greatest((F.length(text) - F.length(F.replace(text, F.lit("\r\n"), F.lit("\n")))), F.lit(0))
-    quotes, amps, angles = _many(text, '"'), _many(text, "&"), _many(text, "<>")
-    escapes = _many(text, '"\\\n\t\r')
-    return {
-        "caracteres": chars,
-        "utf8": utf8,
-        "utf16": chars + F.length(text) - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "")),
-        "entites": chars + 4 * amps + 3 * angles + 5 * quotes,
-        "json": chars + escapes,
-        "crlf": chars + newlines,
-        "utf8_crlf": utf8 + newlines,
-    }
-
-
-def lengths(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``key, source, mesure, longueur``: one row per measure of each text that isn't null or empty."""
-    base = df.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    pairs = F.array(*[F.struct(F.lit(k).alias("mesure"), v.cast("int").alias("longueur")) for k, v in measures(F.col(text)).items()])
-    return base.select(F.col(key), F.col(source).alias("source"), F.explode(pairs).alias("_m")).select(key, "source", "_m.*")
-
-
-def limits(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``source, mesure, limite, textes, attendus``: lengths at which a source's texts pile up.
+
+    def many(*found: str) -> Column:
+        out = F.lit(0)
+        for c in found:
+            out = out + utf8 - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+        return out
+
+    newlines = many("\n") - (utf8 - F.octet_length(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
+    return F.array(
+        chars,
+        utf8,
+        (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"),
+        chars + 4 * many("&") + 3 * many("<", ">") + 5 * many('"'),
+        chars + many('"', "\\", "\n", "\t", "\r"),
+        chars + newlines,
+        utf8 + newlines,
+    )
+
+
+def inspected(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``key, source, longueurs`` and the ending flags of each text that isn't null or empty: one pass over the texts, written.
+
+    ``dans_balise, entier, entree, entree_numerotee, cle_ligne, empreinte`` say what the end shows; a
+    blank text is ``entier``. What is kept of a text is numbers, flags, the key of a short last line and a digest.
+    """
+    base = df.select(F.col(key), F.col(source).alias("source"), F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
+    return cut(_endings(base.withColumn("longueurs", _measures(F.col("_t"))), key), "textes")
+
+
+def _lengths(seen: DataFrame, key: str) -> DataFrame:
+    """``key, source, mesure (index), longueur`` of an inspected table."""
+    return seen.select(key, "source", F.posexplode("longueurs").alias("_i", "longueur"))
+
+
+def limits(seen: DataFrame, key: str) -> DataFrame:
+    """``source, mesure, limite, textes, attendus`` of an inspected table: lengths at which a source's texts pile up.
 
     The histogram is pre-aggregated on the map side; its rows are bounded by sources, measures and
-    lengths. Of measures that show the same pile only the one with most texts is kept per limit.
+    lengths.
     """
-    histogram = lengths(df, key, text, source).where(F.col("longueur") > 2 * _AROUND).groupBy("source", "mesure", "longueur").agg(F.count(F.lit(1)).alias("textes"))
+    names = F.array(*[F.lit(m) for m in MEASURES])
+    histogram = _lengths(seen, key).where(F.col("longueur") > 2 * _AROUND).groupBy("source", "_i", "longueur").agg(F.count(F.lit(1)).alias("textes")).withColumn("mesure", F.get(names, F.col("_i")))
     near = Window.partitionBy("source", "mesure").orderBy("longueur").rangeBetween(-_AROUND, _AROUND)
     spiky = histogram.withColumn("attendus", (F.sum("textes").over(near) - F.col("textes")) / (2 * _AROUND))
     found = spiky.where((F.col("textes") >= LIMIT_LEAST) & (F.col("textes") > LIMIT_TIMES * F.col("attendus") + LIMIT_LEAST))
-    best = Window.partitionBy("source", "longueur").orderBy(F.desc("textes"), F.when(F.col("mesure") == "caracteres", 0).otherwise(1), "mesure")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).select("source", "mesure", F.col("longueur").alias("limite"), "textes", F.round("attendus", 3).alias("attendus"))
+    # A pile seen by one measure echoes in others; a limit whose texts mostly sit at a stronger one is such an echo.
+    found = found.select(F.col("source").alias("_s"), F.col("_i").alias("_m"), "mesure", F.col("longueur").alias("limite"), "textes", "attendus")
+    hits = _lengths(seen, key).join(found, (F.col("source") == F.col("_s")) & (F.col("_i") == F.col("_m")) & (F.col("longueur") == F.col("limite")))
+    strength = F.struct("textes", F.when(F.col("mesure") == "caracteres", 1).otherwise(0).alias("c"), (-F.col("_m")).alias("o"))
+    strongest = hits.withColumn("_k", strength == F.max(strength).over(Window.partitionBy(key)))
+    own = strongest.groupBy("source", "mesure", "limite").agg(F.first("textes").alias("textes"), F.first("attendus").alias("attendus"), F.avg(F.col("_k").cast("int")).alias("_part"))
+    return own.where(F.col("_part") >= 0.5).select("source", "mesure", "limite", "textes", F.round("attendus", 3).alias("attendus"))
 
 
 def _line_key(line: Column) -> Column:
@@ -87,12 +105,9 @@ def _bare(c: Column) -> Column:
     return F.rtrim(c, F.lit(_TRAILING))
 
 
-def endings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, dans_balise, entier, entree, entree_numerotee, cle_ligne, empreinte``: what the end of each text that isn't blank shows.
-
-    The whole text is read once; what is kept of it is flags, the key of a short last line and a digest.
-    """
-    d = df.select(key, _bare(F.col(text)).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
+def _endings(d: DataFrame, key: str) -> DataFrame:
+    """Flags of the end of text ``_t``."""
+    d = d.withColumn("_t", _bare(F.col("_t")))
     mark = F.when(F.col("_t").rlike(r"\[(?:\.\.\.|…)\]\z"), F.regexp_replace("_t", r"\[(?:\.\.\.|…)\]\z", "")).when(F.endswith("_t", F.lit("…")), F.expr("left(_t, length(_t) - 1)")).when(F.endswith("_t", F.lit("...")), F.expr("left(_t, length(_t) - 3)"))
     d = d.withColumns({"_m": F.when(F.right("_t", F.lit(5)).rlike(_ELLIPSIS), mark)}).withColumn("_x", F.coalesce(_bare(F.col("_m")), F.col("_t")))
     d = d.withColumns({"_fin": F.right("_x", F.lit(_TAIL)), "_ligne": F.trim(F.substring_index("_x", "\n", -1))})
@@ -108,27 +123,37 @@ def endings(df: DataFrame, key: str, text: str) -> DataFrame:
     closing = F.lower(F.regexp_replace(line, r"[,;:]$", "")).isin(*CLOSINGS)
     announced = F.col("_m").isNotNull() & F.lower(end).rlike("(?:" + "|".join(CONTINUED) + ")$")
     short = (F.length(line) <= LINE_CHARS) & (F.length(line) > 1)
-    return d.where(F.col("_x") != "").select(
-        key, open_tag.alias("dans_balise"), ((stopped & ~part_number) | reference | framed | closing | announced).alias("entier"), entry.alias("entree"), (entry & line.rlike(r"\d$")).alias("entree_numerotee"), F.when(short, _line_key(line)).alias("cle_ligne"), F.xxhash64("_x").alias("empreinte")
+    blank = F.col("_x") == ""
+    return d.select(
+        key, "source", "longueurs", blank.alias("vide"), (open_tag & ~blank).alias("dans_balise"), (blank | (stopped & ~part_number) | reference | framed | closing | announced).alias("entier"), entry.alias("entree"), (entry & line.rlike(r"\d$")).alias("entree_numerotee"), F.when(short, _line_key(line)).alias("cle_ligne"), F.xxhash64("_x").alias("empreinte")
     )
 
 
 def customary(ends: DataFrame) -> DataFrame:
     """``cle_ligne``: last lines shared by many different texts. At most 1 / LINE_SHARE rows, however many texts."""
-    least = max(LINE_LEAST, LINE_SHARE * ends.select("empreinte").distinct().count())
+    least = max(LINE_LEAST, LINE_SHARE * ends.agg(F.count_distinct("empreinte")).first()[0])
     short = ends.where(F.col("cle_ligne").isNotNull()).select("cle_ligne", "empreinte").distinct().groupBy("cle_ligne").agg(F.count(F.lit(1)).alias("_n"))
     return short.where(F.col("_n") >= F.lit(least)).select(F.col("cle_ligne").alias("_usuelle"))
 
 
-def at_limit(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def at_limit(seen: DataFrame, key: str) -> DataFrame:
     """``key`` (distinct) of the texts whose length, counted in some way, is a hidden limit of their source.
 
     A byte limit that would split a character leaves the text up to three bytes shorter.
     """
-    known = limits(df, key, text, source).select(F.col("source").alias("_s"), F.col("mesure").alias("_m"), "limite")
-    on = (F.col("source") == F.col("_s")) & (F.col("mesure") == F.col("_m"))
-    slack = F.when(F.startswith("mesure", F.lit("utf8")), 3).otherwise(0)
-    return lengths(df, key, text, source).join(known, on).where((F.col("longueur") <= F.col("limite")) & (F.col("longueur") >= F.col("limite") - slack)).select(key).distinct()
+    index = F.create_map(*[F.lit(x) for k, m in enumerate(MEASURES) for x in (m, k)])
+    known = limits(seen, key).select(F.col("source").alias("_s"), F.element_at(index, F.col("mesure")).alias("_m"), "limite", F.when(F.startswith("mesure", F.lit("utf8")), 3).otherwise(0).alias("_moins"))
+    hit = _lengths(seen, key).join(known, (F.col("source") == F.col("_s")) & (F.col("_i") == F.col("_m")))
+    return hit.where(F.col("longueur").between(F.col("limite") - F.col("_moins"), F.col("limite"))).select(key).distinct()
+
+
+def _judged(seen: DataFrame, key: str) -> DataFrame:
+    """The inspected rows with ``coupe``."""
+    known = F.broadcast(customary(seen))  # bounded: see customary
+    suspects = at_limit(seen, key).select(F.col(key).alias("_cle"))
+    joined = seen.join(known, F.col("cle_ligne") == F.col("_usuelle"), "left").join(suspects, F.col(key) == F.col("_cle"), "left")
+    entry = F.col("entree") & (F.col("_cle").isNull() | F.col("entree_numerotee"))
+    return joined.select(key, "source", "vide", (F.col("dans_balise") | ~(F.col("entier") | entry | F.col("_usuelle").isNotNull())).alias("coupe"))
 
 
 def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -140,17 +165,10 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     where the text before it is unfinished. Repeated texts are judged alike, each row for itself; null
     sources have no limits.
     """
-    ends = cut(endings(df, key, text), "fins")
-    known = F.broadcast(customary(ends))  # bounded: see customary
-    suspects = at_limit(df, key, text, source).select(F.col(key).alias("_cle"))
-    judged = ends.join(known, F.col("cle_ligne") == F.col("_usuelle"), "left").join(suspects, F.col(key) == F.col("_cle"), "left")
-    entry = F.col("entree") & (F.col("_cle").isNull() | F.col("entree_numerotee"))
-    return judged.where(F.col("dans_balise") | ~(F.col("entier") | entry | F.col("_usuelle").isNotNull())).select(key)
+    return _judged(inspected(df, key, text, source), key).where("coupe").select(key)
 
 
 def rates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``source, textes, coupes, taux``: how often each source truncates (over texts that aren't blank)."""
-    cut_ids = truncated(df, key, text, source).distinct().withColumnRenamed(key, "_k")
-    filled = df.where(F.trim(F.regexp_replace(F.col(text), _BLANK, "")) != "").select(F.col(key), F.col(source).alias("source"))
-    joined = filled.join(cut_ids, F.col(key) == F.col("_k"), "left")
-    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("textes"), F.count("_k").alias("coupes")).withColumn("taux", F.round(F.col("coupes") / F.col("textes"), 6))
+    by = _judged(inspected(df, key, text, source), key).where(~F.col("vide")).groupBy("source").agg(F.count(F.lit(1)).alias("textes"), F.count_if("coupe").alias("coupes"))
+    return by.withColumn("taux", F.round(F.col("coupes") / F.col("textes"), 6))

@@ -1,6 +1,6 @@
 """Truncated texts."""
 
-from guichet.llm.troncature import at_limit, limits, rates, truncated
+from guichet.llm.troncature import at_limit, inspected, limits, rates, truncated
 
 CASES = {
     "Le serveur redémarre.": False, "Le serveur redém": True, "Le serveur redémarre. ...": False, "Le serveur redém...": True, "Le badge [...]": True, "Fini. À suivre…": False,
@@ -28,13 +28,13 @@ def test_limits(spark):
     rows += [(2000 + i, "é" * (39 + i % 2) + "x" * (2 - 2 * (i % 2)), "b") for i in range(40)]  # 80 bytes
     rows += [(3000 + i, "z" * (40 + 3 * i), "b") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {(r.source, r.mesure, r.limite) for r in limits(df, "doc_id", "text", "source").collect()}
+    got = {(r.source, r.mesure, r.limite) for r in limits(inspected(df, "doc_id", "text", "source"), "doc_id").collect()}
     assert ("a", "caracteres", 150) in got and ("b", "utf8", 80) in got
-    ids = {r.doc_id for r in at_limit(df, "doc_id", "text", "source").collect()}
+    ids = {r.doc_id for r in at_limit(inspected(df, "doc_id", "text", "source"), "doc_id").collect()}
     assert set(range(1000, 1040)) | set(range(2000, 2040)) <= ids and not ids & set(range(0, 100))
 
 
 def test_rates_and_empty(spark):
     df = spark.createDataFrame([(1, "Fini.", "a"), (2, "pas fin", "a"), (2, "pas fin", "a"), (3, None, "a"), (4, " ", "b")], "doc_id long, text string, source string")
     assert [(r.source, r.textes, r.coupes) for r in rates(df, "doc_id", "text", "source").collect()] == [("a", 3, 2)]
-    assert truncated(df.limit(0), "doc_id", "text", "source").count() == 0 and limits(df.limit(0), "doc_id", "text", "source").count() == 0
+    assert truncated(df.limit(0), "doc_id", "text", "source").count() == 0 and limits(inspected(df.limit(0), "doc_id", "text", "source"), "doc_id").count() == 0
