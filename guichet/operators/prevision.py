@@ -38,4 +38,4 @@ def forecast(series: DataFrame, horizon: int = 30) -> DataFrame:
     out = best.withColumn("etape", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     value = F.greatest(F.lit(0.0), F.col("_s.l") + F.col("etape") * F.col("_s.b"))
     margin = F.lit(QUANTILE) * spread * F.sqrt(F.col("etape").cast("double"))
-    return out.select("etape", F.date_add("dernier", F.col("etape")).alias("jour"), F.round(value, 4).alias("prevu"), F.round(F.greatest(F.lit(0.0), value - margin), 4).alias("bas"), F.round(value + margin, 4).alias("haut"))
+    return out.select("etape", F.date_add("dernier", F.col("etape")).alias("jour"), F.round(value + 1e-9, 4).alias("prevu"), F.round(F.greatest(F.lit(0.0), value - margin) + 1e-9, 4).alias("bas"), F.round(value + margin + 1e-9, 4).alias("haut"))

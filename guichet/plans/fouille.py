@@ -205,14 +205,16 @@ def zscore_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return t.where(z > 2.5).select("id", F.round(z + 1e-9, 6).alias("z"), (z > 3.5).alias("forte"))
 
 
-_HOLT = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY j) AS i, y FROM (SELECT CAST(date_ouverture AS DATE) AS j, count(*)::DOUBLE AS y FROM (SELECT DISTINCT id, date_ouverture FROM t) GROUP BY 1)),
- g AS (SELECT a / 10.0::DOUBLE AS alpha, b / 10.0::DOUBLE AS beta FROM range(1, 10) x(a), range(1, 10) z(b)),
- h AS (SELECT alpha, beta, 2::BIGINT AS i, (SELECT y FROM s WHERE i = 2) AS l, (SELECT y FROM s WHERE i = 2) - (SELECT y FROM s WHERE i = 1) AS b, 0::DOUBLE AS e FROM g
- UNION ALL SELECT alpha, beta, s.i, alpha * y + (1 - alpha) * (l + b), beta * (alpha * y + (1 - alpha) * (l + b) - l) + (1 - beta) * b, e + abs(y - (l + b)) FROM h JOIN s ON s.i = h.i + 1)
- SELECT alpha, beta, round(e / (i - 2) + 1e-9, 6) AS erreur, round(l + 1e-9, 6) AS niveau, round(b + 1e-9, 6) AS tendance FROM h WHERE i = (SELECT max(i) FROM s)"""
+_HOLT = """WITH s AS (SELECT row_number() OVER (ORDER BY j) AS i, j, y FROM (SELECT CAST(date_ouverture AS DATE) AS j, count(*)::DOUBLE AS y FROM t GROUP BY 1)),
+ g AS (SELECT x.a / 10.0::DOUBLE AS alpha, z.a / 10.0::DOUBLE AS beta FROM range(1, 10) x(a), range(1, 10) z(a)),
+ h AS (SELECT alpha, beta, 1::BIGINT AS i, (SELECT y FROM s WHERE i = 1) AS l, (SELECT y FROM s WHERE i = 2) - (SELECT y FROM s WHERE i = 1) AS b, 0::DOUBLE AS e, 0::DOUBLE AS q, 0::DOUBLE AS r FROM g
+ UNION ALL SELECT alpha, beta, s.i, alpha * y + (1 - alpha) * (l + b), beta * ((alpha * y + (1 - alpha) * (l + b)) - l) + (1 - beta) * b, e + abs(y - (l + b)), q + (y - (l + b)) * (y - (l + b)), r + (y - (l + b)) FROM h JOIN s ON s.i = h.i + 1),
+ m AS (SELECT *, i - 1 AS n FROM h WHERE i = (SELECT max(i) FROM s) ORDER BY e, alpha, beta LIMIT 1),
+ f AS (SELECT CAST(k AS INTEGER) AS etape, (SELECT max(j) FROM s) + CAST(k AS INTEGER) AS jour, greatest(0, l + k * b) AS v, 1.28 * sqrt((q - r * r / n) / (n - 1)) * sqrt(k::DOUBLE) AS w FROM m, range(1, 31) x(k))
+ SELECT etape, jour, round(v + 1e-9, 4) AS prevu, round(greatest(0, v - w) + 1e-9, 4) AS bas, round(v + w + 1e-9, 4) AS haut FROM f"""
 
 
-@query()
+@query(_HOLT)
 def forecast_holt(spark: SparkSession, d: str) -> DataFrame:
     """Daily openings forecast for 30 days by double exponential smoothing with the best of 81 parameter pairs."""
     t = snapshot(spark, d, "date_ouverture").groupBy(F.to_date("date_ouverture").alias("jour")).agg(F.count(F.lit(1)).cast("double").alias("y"))

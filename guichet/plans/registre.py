@@ -27,7 +27,7 @@ class Registre:
             if sql is not None:
                 if newest:
                     rest = sql.strip()
-                    self.oracles[key] = f"WITH {NEWEST_SQL}" + (", " + rest[5:] if rest[:5].upper() == "WITH " else " " + rest)
+                    self.oracles[key] = f"WITH RECURSIVE {NEWEST_SQL}" + (", " + rest[5:] if rest[:5].upper() == "WITH " else " " + rest)
                 else:
                     self.oracles[key] = sql
             return f

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from guichet.operators.doublons import ranked
 from guichet.operators.hierarchie import rolled_up
 from guichet.operators.instantane import filled, filtered, import_history, import_profile, merge, snapshot
 from guichet.plans.registre import Registre
@@ -107,9 +108,9 @@ def attribution_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT technicien_principal, id, coalesce(anciennete_jours, 0) AS age, row_number() OVER (PARTITION BY technicien_principal ORDER BY coalesce(anciennete_jours, 0) DESC, id) AS rang FROM t WHERE est_vivant AND technicien_principal <> ''")
 def technician_tickets(spark: SparkSession, d: str) -> DataFrame:
     """Each assignee's live tickets by age."""
-    live = _live(spark, d, "technicien_principal", "anciennete_jours").where(filled(F.col("technicien_principal"))).withColumn("age", F.coalesce("anciennete_jours", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("technicien_principal").orderBy(F.desc("age"), "id")).cast("long")
-    return live.select("technicien_principal", "id", "age", rank.alias("rang"))
+    live = _live(spark, d, "technicien_principal", "anciennete_jours").where(filled(F.col("technicien_principal"))).select("technicien_principal", "id", F.coalesce("anciennete_jours", F.lit(0)).alias("age"))
+    placed = ranked(live.withColumn("_rang", -F.col("age")), "technicien_principal", ["_rang", "id"])  # a hot assignee spreads over partitions
+    return placed.select("technicien_principal", "id", "age", F.col("pos").cast("long").alias("rang"))
 
 
 _TREE = """WITH p AS (SELECT string_split({c}, ' > ') AS parts, type_ticket FROM t WHERE {c} <> ''),
