@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from guichet.plans import donnees, flux, fouille, stock
+from guichet.plans import donnees, donnees_sql, flux, fouille, stock
 
 QUERIES = dict(donnees.QUERIES)
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(donnees_sql.ORACLES)
 for _module in (stock, flux, fouille):
     QUERIES |= _module.query.queries
     ORACLES |= _module.query.oracles
