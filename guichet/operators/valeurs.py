@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from guichet.session import cut
 
-#: Runs, first match wins: HTML break, line ends, tab, blanks, quote, bracket, delimiter, words with single inner blanks.
+#: Runs, first match wins: HTML break, line ends, tab, quote, bracket or delimiter, anything else up to one of these.
+#: Only single character classes repeat, so the longest field needs no deep match.
 _BLANKS = r"[ \x0B\f\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF]"
-_WORD = r"(?:[^\s\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF\",;|/\[\]<]|<(?!(?i:br)\s*/?>))+"
-RUNS = rf"(?i:<br\s*/?>)|[\r\n]+|\t+|{_BLANKS}+|[\",;|/\[\]]|{_WORD}(?: {_WORD})*|(?s:.)"
+RUNS = r"(?i:<br\s*/?>)|[\r\n]+|\t+|[\",;|/\[\]]|[^\t\r\n\",;|/\[\]<]+|(?s:.)"
+#: Symbols of ordinary runs: without blanks at the ends, blank before, blank behind, both.
+ORDINARY = ("X", "L", "R", "B")
 RULE = "array<struct<debut:int,longueur:int,entre:boolean>>"
 #: A rule table of at most so many rows (some 200 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
@@ -25,13 +27,17 @@ BROADCAST_ROWS = 50_000
 
 def _symbol(run):
     first = F.substring(run, 1, 1)
+    before, behind = run.rlike(rf"^{_BLANKS}"), run.rlike(rf"{_BLANKS}$")
     return (
-        F.when(F.lower(run).rlike(r"^<br\s*/?>$"), "b")
+        F.when(F.lower(run).rlike(r"^<br\s*/?>$"), "h")
         .when(first.isin("\r", "\n"), "n")
         .when(first == "\t", "t")
-        .when(run.rlike(rf"^{_BLANKS}+$"), "s")
         .when(run.rlike(r'^[",;|/\[\]]$'), run)
-        .otherwise("x")
+        .when(before & run.rlike(rf"^{_BLANKS}+$"), "s")
+        .when(before & behind, "B")
+        .when(before, "L")
+        .when(behind, "R")
+        .otherwise("X")
     )
 
 
@@ -54,7 +60,11 @@ def split_rule(skeleton: str) -> list[dict]:
         """A delimiter, or the end, follows after blanks."""
         while i < hi and s[i] == "s":
             i += 1
-        return i >= hi or s[i] in ";,|ntb" or (s[i] == "/" and s[i - 1] == "s" and (i + 1 >= hi or s[i + 1] in "sntb"))
+        return i >= hi or s[i] in ";,|nth" or (s[i] == "/" and slash(i))
+
+    def slash(i: int) -> bool:
+        """A slash between blanks, line ends or the field's ends."""
+        return (i == lo or s[i - 1] in "snthRB") and (i + 1 >= hi or s[i + 1] in "snthLB")
 
     def add(a: int, b: int) -> None:
         while a < b and s[a] == "s":
@@ -90,8 +100,7 @@ def split_rule(skeleton: str) -> list[dict]:
                 i, fresh = j + 1, False
                 continue
         fresh = False
-        slash = c == "/" and (i == lo or s[i - 1] in "sntb") and (i + 1 >= hi or s[i + 1] in "sntb")
-        if c in ";,|ntb" or slash:
+        if c in ";,|nth" or (c == "/" and slash(i)):
             add(begin, i)
             begin, fresh = i + 1, True
         i += 1
@@ -119,19 +128,21 @@ def split_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     """One row per value: ``keys, champ, rang, valeur`` (``rang`` from 1 in written order).
 
     Null, empty and blank fields give no row; repeated records give their rows again. Only ``keys``
-    and ``columns`` are read, so other columns can't clash. The one-run skeleton ``x`` (by far the
-    most frequent) is answered in place, so no join key is hot.
+    and ``columns`` are read, so other columns can't clash. One-run skeletons (by far the most
+    frequent) are answered in place, so no join key is hot.
     """
     fields = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("champ"), F.col(c).alias("_texte")) for c in columns])).alias("_v")).select(*keys, "_v.champ", "_v._texte").where(F.col("_texte").isNotNull() & (F.col("_texte") != ""))
     keyed = skeletons(fields, "_texte").drop("_texte")
-    single, packed = keyed.where(F.col("_squelette") == "x"), keyed.where(F.col("_squelette") != "x")
+    alone = F.col("_squelette").isin(*ORDINARY)
+    single, packed = keyed.where(alone), keyed.where(~alone)
     rules = cut(rule_table(packed), "regles")
     if rules.count() <= BROADCAST_ROWS:
         rules = F.broadcast(rules)
     found = packed.join(rules, "_squelette").select(*keys, "champ", "_runs", F.posexplode("_regle").alias("_i", "_r"))
     text = F.array_join(F.slice("_runs", F.col("_r.debut"), F.col("_r.longueur")), "")
     value = F.when(F.col("_r.entre"), F.regexp_replace(text, '""', '"')).otherwise(text)
-    trimmed = F.regexp_replace(value, rf"^(?:{_BLANKS}|\s)+|(?:{_BLANKS}|\s)+$", "")
-    several = found.select(*keys, "champ", (F.col("_i") + 1).cast("long").alias("rang"), trimmed.alias("valeur")).where(F.col("valeur") != "")
-    one = single.select(*keys, "champ", F.lit(1).cast("long").alias("rang"), F.get("_runs", F.lit(0)).alias("valeur"))
+    edge = _BLANKS[:-1] + r"\s]"
+    bare = lambda c: F.regexp_replace(c, rf"^{edge}+|{edge}+$", "")
+    several = found.select(*keys, "champ", (F.col("_i") + 1).cast("long").alias("rang"), bare(value).alias("valeur")).where(F.col("valeur") != "")
+    one = single.select(*keys, "champ", F.lit(1).cast("long").alias("rang"), bare(F.get("_runs", F.lit(0))).alias("valeur"))
     return one.unionByName(several)
