@@ -36,7 +36,7 @@ OPENERS = frozenset("voir vu selon avec pour par chez contacter appeler rappeler
 
 _SP = r"[ \u00A0\u202F]"
 _UP = "A-ZÀ-ÖØ-ÞŒ"
-EMAIL = re.compile(r"[A-Za-zÀ-ÿ0-9][\w.+%-]*(?:@| ?(?:\((?:at|a|arobase)\)|\[(?:at|a|arobase)\]) ?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.IGNORECASE)
+EMAIL = re.compile(r"(?<![\w.+%])(?<!\w-)[A-Za-zÀ-ÿ0-9][\w.+%-]*(?:@| ?(?:\((?:at|a|arobase)\)|\[(?:at|a|arobase)\]) ?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.IGNORECASE)
 PHONE = re.compile(
     rf"(?<![\w+.-])(?<!\d[ ,])(?:(?:\+|00)33(?:{_SP}|[.-])?(?:\(0\){_SP}?)?[1-9](?:(?P<s>{_SP}|[.-]|)\d\d(?:(?P=s)\d\d){{3}}|\d\d(?P<t>{_SP}|[.-])\d{{3}}(?P=t)\d{{3}})|0[1-9](?P<u>{_SP}|[.-]|)\d\d(?:(?P=u)\d\d){{3}})(?![\w]|[.-]?\d)"
 )

@@ -38,6 +38,15 @@ def test_masking_keeps_the_rest():
     assert mask_text(None, GIVEN, KEY) is None
 
 
+@pytest.mark.parametrize("filler", ["x" * 200_000, "a." * 100_000, "a-" * 100_000, "12 " * 70_000, "Abc " * 50_000, "rue de la " * 20_000, "0" * 200_000, "@" * 100_000])
+def test_long_texts_take_no_long_time(filler):
+    import time
+
+    began = time.time()
+    got = spans(filler + " écrire à x.y@valmorne.example ou Hugo Martel.", GIVEN)
+    assert time.time() - began < 10 and {k for _, _, k in got} >= {"courriel"}
+
+
 def test_permutation():
     for size in (1, 2, 10, 97, 1000):
         image = [permute(v, size, KEY, "t") for v in range(size)]
