@@ -23,7 +23,7 @@ CLOSINGS = (
     "un saludo", "saludos", "gracias", "gracias de antemano",
 )
 # Words that announce more to come, so that an ellipsis after them cuts nothing.
-CONTINUED = ("à suivre", "a suivre", "to be continued")
+CONTINUED = (r"\? suivre", "a suivre", "to be continued")  # accents as _line_key writes them
 #: A last line shared by this part of all different texts (and by LINE_LEAST) is a customary closing.
 LINE_SHARE, LINE_LEAST, LINE_CHARS = 0.0005, 4, 60
 #: A length this many times as frequent as the mean of its 30 neighbours, and in LIMIT_LEAST texts, is a limit.
@@ -32,7 +32,8 @@ _AROUND = 15
 _BLANK = r"[\s\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF]"
 _TRAILING = " \t\n\r\x0b\x0c\u00a0\u1680\u2007\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
 _TAIL = 64  # characters of an ending: longer than any form looked for there
-_ELLIPSIS = r"(?:\[\.\.\.\]|\[…\]|…|\.\.\.)$"
+_BROKEN = "\u00e2\u0080?\u00a6"  # an ellipsis decoded wrongly, its control character lost or not
+_ELLIPSIS = rf"(?:\[\.\.\.\]|\[…\]|…|\.\.\.|{_BROKEN}|â€¦)$"
 
 
 MEASURES = ("caracteres", "utf8", "utf16", "entites", "json", "crlf", "utf8_crlf")
@@ -108,20 +109,20 @@ def _bare(c: Column) -> Column:
 def _endings(d: DataFrame, key: str) -> DataFrame:
     """Flags of the end of text ``_t``."""
     d = d.withColumn("_t", _bare(F.col("_t")))
-    mark = F.when(F.col("_t").rlike(r"\[(?:\.\.\.|…)\]\z"), F.regexp_replace("_t", r"\[(?:\.\.\.|…)\]\z", "")).when(F.endswith("_t", F.lit("…")), F.expr("left(_t, length(_t) - 1)")).when(F.endswith("_t", F.lit("...")), F.expr("left(_t, length(_t) - 3)"))
+    mark = F.when(F.col("_t").rlike(r"\[(?:\.\.\.|…)\]\z"), F.regexp_replace("_t", r"\[(?:\.\.\.|…)\]\z", "")).when(F.endswith("_t", F.lit("…")), F.expr("left(_t, length(_t) - 1)")).when(F.col("_t").rlike(rf"(?:\.\.\.|{_BROKEN}|â€¦)\z"), F.regexp_replace("_t", rf"(?:\.\.\.|{_BROKEN}|â€¦)\z", ""))
     d = d.withColumns({"_m": F.when(F.right("_t", F.lit(5)).rlike(_ELLIPSIS), mark)}).withColumn("_x", F.coalesce(_bare(F.col("_m")), F.col("_t")))
     d = d.withColumns({"_fin": F.right("_x", F.lit(_TAIL)), "_ligne": F.trim(F.substring_index("_x", "\n", -1))})
     d = d.withColumns({"_ligne": F.trim(F.element_at(F.split("_ligne", r"<br\s*/?>"), -1)), "_ouvert": F.substring_index("_x", "<", -1)})
     end, line, opened = F.col("_fin"), F.col("_ligne"), F.col("_ouvert")
     in_tag = F.contains("_x", F.lit("<")) & ~F.contains(opened, F.lit(">")) & opened.rlike(r"^(?:[A-Za-z/]|$)")
     open_tag = in_tag | end.rlike(r"(?i)<(?:p|div|li|span|td)>$")
-    part_number = end.rlike(r"(?:\bv\d+(?:\.\d+)?|[^\d.]10\.\d{1,3}(?:\.\d{1,3})?)\.$")  # version or address with parts missing
+    part_number = end.rlike(r"(?:\bv\d+(?:\.\d+)?|(?<![\w.])10\.\d{1,3}(?:\.\d{1,3})?)\.$")  # version or address with parts missing
     stopped = end.rlike(r"[.!?]['\"»)\]]{0,8}$") | end.rlike(r"(?i)</[a-z0-9]+>$") | end.rlike(r"(?i)<br\s*/?>$")
     entry = line.rlike(r"^[-*•] \S")
     reference = line.rlike(r"^[^\s\d]{2,12} [A-Z]{1,5}-\d+$")
     framed = line.rlike(r"^\[.*\]$|^\(.*\)$")
     closing = F.lower(F.regexp_replace(line, r"[,;:]$", "")).isin(*CLOSINGS)
-    announced = F.col("_m").isNotNull() & F.lower(end).rlike("(?:" + "|".join(CONTINUED) + ")$")
+    announced = F.col("_m").isNotNull() & _line_key(end).rlike("(?:" + "|".join(CONTINUED) + ")$")
     short = (F.length(line) <= LINE_CHARS) & (F.length(line) > 1)
     blank = F.col("_x") == ""
     return d.select(
