@@ -118,6 +118,7 @@ def _endings(d: DataFrame, key: str) -> DataFrame:
     open_tag = in_tag | end.rlike(r"(?i)<(?:p|div|li|span|td)>$")
     part_number = end.rlike(r"(?:\bv\d+(?:\.\d+)?|(?<![\w.])10\.\d{1,3}(?:\.\d{1,3})?)\.$")  # version or address with parts missing
     stopped = end.rlike(r"[.!?]['\"»)\]]{0,8}$") | end.rlike(r"(?i)</[a-z0-9]+>$") | end.rlike(r"(?i)<br\s*/?>$")
+    stopped = stopped & ~line.rlike(r"^\d+[.)]$")  # a list number without its entry
     entry = line.rlike(r"^[-*•] \S")
     reference = line.rlike(r"^[^\s\d]{2,12} [A-Z]{1,5}-\d+$")
     framed = line.rlike(r"^\[.*\]$|^\(.*\)$")

@@ -6,7 +6,7 @@ CASES = {
     "Le serveur redémarre.": False, "Le serveur redém": True, "Le serveur redémarre. ...": False, "Le serveur redém...": True, "Le badge [...]": True, "Fini. À suivre…": False,
     "Fait.\nCordialement,\nMerci d'avance": False, "Fait.\n- changer l'étiquette\n- Hyloquen 72": False, "Fait.\nRéf. KB-81488": False, "Fait.\n(fin du message)": False, "Fait.\n[pièce jointe : 1]": False,
     "<p>Fait.</p>": False, "<p>Fait.</p": True, "<p>Fait.</p><": True, "<p>Fait.</p><p>": True, "Voir la version v5.": True, "Voir la version v5.1.2.": False, "Voir la version v10.18.1.": False, "Fini. A\u0300 suivre…": False, "Fini. Ã\u0080 suivreâ\u0080¦": False, "Fini. â\u0080¦": False, "Fini. Ã suivreâ¦": False, "Le badgeâ\u0080¦": True, "Adresse 10.12.": True, "Adresse 10.12.13.14.": False,
-    "je regarde": False, "Bonne nouvelle !": False, "Dit \"oui.\"": False, "coupe le son, ": True, "": False, None: False, " \n ": False, "mot " * 100_000: True, "a < b.": False,
+    "je regarde": False, "1. Fait.\n2.": True, "1. Fait.\n2. Vu.": False, "Bonne nouvelle !": False, "Dit \"oui.\"": False, "coupe le son, ": True, "": False, None: False, " \n ": False, "mot " * 100_000: True, "a < b.": False,
 }
 
 
