@@ -96,11 +96,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = load(spark, d, "cibles_melange")
     tokens = jetons.Tokenizer(spark)
-    return melange.mix(melange.distinct_texts(load(spark, d, "documents"), tokens.count), targets), targets
+    texts = cut(melange.distinct_texts(load(spark, d, "documents"), tokens.count), "textes_distincts")
+    return melange.mix(texts, targets, melange.wanted_budget(texts, targets).first()["budget"]), targets
 
 
 def p9_melange(spark: SparkSession, d: str) -> DataFrame:
-    """The mix: every use of every text, in order."""
+    """The mix, in order: as many tokens as all texts of sources with a target hold; scarce sources fall short."""
     return _mix(spark, d)[0]
 
 

@@ -49,18 +49,26 @@ def finish_times(texts: DataFrame, targets: DataFrame, seed: int = 42, buckets:
 
 
 def feasible_budget(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row ``budget``: the most tokens that can be mixed with every source at its exact share."""
+    """One row ``budget``: the most tokens at which no source with texts runs out; sources without texts have no say."""
     capacity = texts.groupBy("source").agg(F.sum("jetons").alias("_j"))
-    goal = targets.where(F.col("poids") > 0).join(capacity, "source", "left")
-    return goal.agg(F.min(F.coalesce(F.col("_j"), F.lit(0)) * F.greatest("repetitions_max", F.lit(1)) / (F.col("poids"))).cast("long").alias("budget"), F.sum("poids").alias("_poids"))
+    goal = targets.where(F.col("poids") > 0).join(capacity, "source")
+    share = F.col("poids") / F.sum("poids").over(Window.partitionBy(F.lit(1)))  # one row per source
+    goal = goal.withColumn("_part", share)
+    return goal.agg(F.floor(F.min(F.col("_j") * F.greatest("repetitions_max", F.lit(1)) / F.col("_part")) + 1e-6).cast("long").alias("budget"), F.sum("poids").alias("_poids"))
+
+
+def wanted_budget(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row ``budget``: the tokens of all texts of sources with a target, the size of the mix whatever the scarcest source."""
+    return texts.join(targets.where(F.col("poids") > 0).select("source"), "source").agg(F.coalesce(F.sum("jetons"), F.lit(0)).alias("budget"))
 
 
 def mix(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
     """``ordre_jetons, source, doc_id, repetition, jetons, fin``: uses in order of finish time until the budget is spent.
 
     ``ordre_jetons`` is the cumulative number of tokens, a gapless position in the mix. The last use is
-    the last that fits whole. With no ``budget`` the largest one at which no source runs out is taken;
-    with a larger one, a spent source's share goes to the others in proportion. Equal finish times are
+    the last that fits whole. With no ``budget`` the largest one at which no source runs out is taken
+    (a source without texts is as good as spent from the start); with a larger one, a spent source's
+    share goes to the others in proportion. Equal finish times are
     ordered by doc_id, repetition. Empty inputs give an empty mix.
     """
     texts = cut(texts, "textes")

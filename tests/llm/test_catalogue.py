@@ -29,3 +29,11 @@ def test_against_sql(spark, data, name):
     names = [x[0] for x in answer.description]
     got = sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
     assert sorted(df.columns) == sorted(names) and got == sorted(answer.fetchall(), key=repr)
+
+
+def test_mix_has_the_size_of_its_texts(spark, data):
+    if not os.path.isdir(jetons.FOLDER):
+        pytest.skip("no vocabulary")
+    rows = catalogue.p9_parts(spark, data).collect()
+    whole = catalogue.load(spark, data, "documents").where("text <> ''").join(catalogue.load(spark, data, "cibles_melange"), "source").select("source").distinct().count()
+    assert sum(r.jetons > 0 for r in rows) == whole < len(rows)

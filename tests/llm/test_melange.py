@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from guichet.llm.melange import distinct_texts, mix, shares
+from guichet.llm.melange import distinct_texts, feasible_budget, mix, shares, wanted_budget
 
 SIZE = lambda text: F.length(text).cast("long")
 
@@ -49,3 +49,26 @@ def test_budget_and_determinism(docs, targets):
 def test_empty(docs, targets):
     assert mix(distinct_texts(docs.limit(0), SIZE), targets).count() == 0
     assert shares(mix(distinct_texts(docs.limit(0), SIZE), targets), targets).count() == 3
+
+
+def test_target_source_without_texts(spark, docs, targets):
+    more = targets.union(spark.createDataFrame([("absent", 0.25, 2)], targets.schema))
+    texts = distinct_texts(docs, SIZE).cache()
+    assert feasible_budget(texts, more).first()["budget"] == feasible_budget(texts, targets).first()["budget"] > 0
+    parts = {r.source: r for r in shares(mix(texts, more, buckets=16), more).collect()}
+    assert parts["absent"].part == 0 and abs(parts["gros"].part - 0.75) < 0.03 and abs(parts["petit"].part - 0.25) < 0.03
+
+
+def test_source_of_copies_only(spark, targets):
+    rows = [(i, f"texte {i:04d}", "gros") for i in range(200)] + [(1000 + i, f"texte {i:04d}", "petit") for i in range(20)]
+    texts = distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), SIZE)
+    assert mix(texts, targets, buckets=8).count() == 200
+
+
+def test_scarce_source_falls_short(docs, targets):
+    texts = distinct_texts(docs, SIZE).cache()
+    budget = wanted_budget(texts, targets).first()["budget"]
+    assert budget == texts.where("source IN ('gros', 'petit')").agg(F.sum("jetons")).first()[0]
+    parts = {r.source: r for r in shares(mix(texts, targets, budget, buckets=16), targets).collect()}
+    assert budget - 100 < sum(r.jetons for r in parts.values()) <= budget
+    assert parts["petit"].textes == 40 and parts["petit"].usages == 160 and parts["petit"].part < 0.25
