@@ -1,8 +1,8 @@
 """Clusters of similar records by Markov clustering (MCL).
 
 A random walk on the similarity graph is squared (expansion), its strong steps are favoured
-(inflation) and its smallest entries pruned, until it settles: the rows that keep flow are
-attractors, the columns that flow to them their cluster. The walk never leaves a connected block,
+(inflation) and its smallest entries pruned (of a column of small entries only, all but its
+``RECOVER`` largest), until it settles: the rows that keep flow are attractors, the columns that flow to them their cluster. The walk never leaves a connected block,
 so the matrix is block-diagonal: blocks up to ``DENSE`` nodes are squared as stacked dense matrices
 inside tasks, larger ones as distributed sparse matrices (a join and a sum per step). Both do the
 same arithmetic.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guichet.session import cut
@@ -22,6 +22,7 @@ from guichet.session import cut
 DENSE = 512  # nodes of a block that one task squares at once (2 MB a matrix)
 INFLATION = 2.0
 PRUNE = 1e-4
+RECOVER = 100  # largest entries kept of a column whose entries are all below PRUNE
 STEPS = 60
 _SETTLED = 1e-6
 
@@ -55,7 +56,12 @@ def _walk(m: np.ndarray, inflation: float, prune: float) -> np.ndarray:
         last = m
         m = np.power(m @ m, inflation)
         m /= np.maximum(m.sum(1, keepdims=True), 1e-300)
-        m[m < prune] = 0
+        small = m < prune
+        if prune > 1 / m.shape[1]:  # else no column can be all small
+            first = np.zeros_like(small)
+            np.put_along_axis(first, np.argsort(-m.round(12), 1, kind="stable")[:, :RECOVER], True, 1)
+            small &= ~(first & small.all(1, keepdims=True))
+        m[small] = 0
         m /= np.maximum(m.sum(1, keepdims=True), 1e-300)
         if np.abs(m - last).max() < _SETTLED:
             break
@@ -130,12 +136,19 @@ def _sparse(links: DataFrame, inflation: float, prune: float) -> DataFrame:
     def normal(x: DataFrame) -> DataFrame:
         return x.join(x.groupBy("bloc", "j").agg(F.sum("w").alias("_s")), ["bloc", "j"]).select("bloc", "i", "j", (F.col("w") / F.col("_s")).alias("w"))
 
+    def pruned(x: DataFrame) -> DataFrame:
+        # Flow spread evenly over many nodes has small entries only; its largest stay (of equals the first), so no column is lost.
+        by = x.groupBy("bloc", "j").agg(F.sum("w").alias("_s"), F.max("w").alias("_m"))
+        y = x.join(by, ["bloc", "j"]).withColumns({"w": F.col("w") / F.col("_s"), "_m": F.col("_m") / F.col("_s")})
+        y = y.where((F.col("w") >= prune) | (F.col("_m") < prune))
+        rank = F.row_number().over(Window.partitionBy("bloc", "j").orderBy(F.desc(F.round(F.ln("w"), 9)), "i"))
+        return y.withColumn("_r", rank).where((F.col("w") >= prune) | (F.col("_r") <= RECOVER)).select("bloc", "i", "j", "w")
+
     m = cut(normal(m), "flux")
     for _ in range(STEPS):
         right = m.select("bloc", F.col("i").alias("k"), "j", F.col("w").alias("w2"))
         squared = m.withColumnRenamed("j", "k").join(right, ["bloc", "k"]).groupBy("bloc", "i", "j").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
-        stronger = normal(squared.withColumn("w", F.pow("w", F.lit(inflation))))
-        after = cut(normal(stronger.where(F.col("w") >= prune)), "flux")
+        after = cut(normal(pruned(squared.withColumn("w", F.pow("w", F.lit(inflation))))), "flux")
         moved = after.join(m.withColumnRenamed("w", "v"), ["bloc", "i", "j"], "full").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))))).first()[0]
         m = after
         if (moved or 0.0) < _SETTLED:
@@ -155,9 +168,12 @@ def markov(links: DataFrame, inflation: float = INFLATION, prune: float = PRUNE,
     where = cut(blocks(links), "blocs")
     sized = where.groupBy("bloc").count()
     placed = cut(links.join(where.withColumnRenamed("noeud", "a"), "a").join(sized, "bloc").select("bloc", "a", "b", F.col("w").cast("double").alias("w"), "count"), "blocs_liens")
-    small = _dense(placed.where(F.col("count") <= dense), inflation, prune)
+    found = _dense(placed.where(F.col("count") <= dense), inflation, prune)
     large = placed.where(F.col("count") > dense)
-    return small.unionByName(_sparse(large.drop("count"), inflation, prune)) if large.limit(1).count() else small
+    if large.limit(1).count():
+        found = found.unionByName(_sparse(large.drop("count"), inflation, prune))
+    # Blocks come from the links, not from the walk: no node can get lost in it.
+    return where.join(found.drop("bloc"), "noeud", "left").select("bloc", "noeud", F.coalesce("groupe", "noeud").alias("groupe"), F.coalesce("flux", F.lit(0.0)).alias("flux"), F.coalesce("lien", F.lit(0.0)).alias("lien"))
 
 
 def clustered(members: DataFrame, links: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, dense: int = DENSE) -> DataFrame:
@@ -186,8 +202,6 @@ def described(records: DataFrame, typical: int = 3, least: int = 1) -> DataFrame
     """
     k = F.struct((-F.col("flux")).alias("f"), (-F.round("lien", 9)).alias("l"), F.col("id").alias("i"))
     top = records.groupBy("bloc", "groupe").agg(F.min("id").alias("groupe_id"), F.count_distinct("id").alias("taille")).where(F.col("taille") >= least)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("bloc", "groupe").orderBy(k)
     first = records.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= typical)
     names = first.groupBy("bloc", "groupe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"].cast("string")), ",").alias("typiques"))

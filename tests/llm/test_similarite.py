@@ -121,6 +121,19 @@ def test_markov_splits_weakly_joined_groups(spark):
         assert sorted(map(sorted, by.values())) == [list(range(0, 6)), list(range(10, 16))]
 
 
+def test_even_flow_below_the_pruning_limit(spark, monkeypatch):
+    """A large even group, every entry of whose matrix is below the limit, stays one block and one cluster."""
+    edges = [(a, b, 0.9) for a, b in combinations(range(30), 2)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    monkeypatch.setattr(grappes, "RECOVER", 5)
+    members = spark.range(30).select("id", F.col("id").alias("classe"))
+    links = df.select("a", "b", F.lit(9).alias("communs"), F.lit(10).alias("total"))
+    for dense in (512, 4):
+        got = grappes.clustered(members, links, prune=0.05, dense=dense).cache()
+        assert got.count() == 30 and len({(r.bloc, r.groupe) for r in got.collect()}) == 1
+        assert grappes.linked_groups(got, 4).count() == 30
+
+
 def test_blocks_of_a_chain(spark):
     n = 60
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
