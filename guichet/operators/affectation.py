@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guichet.functions.mots import tokens
+from guichet.functions.mots import FRENCH, PHRASES, SERVICE_DESK, bigrams, stems, tokens
 from guichet.operators.corpus import counts
 from guichet.operators.instantane import filled
+from guichet.session import cut
 
 THRESHOLD, TOP, LEAST, CATEGORY_WEIGHT = 20, 3, 0.01, 0.7
 HALF_LIFE = 0.693 / 30
@@ -55,15 +56,26 @@ def unit(df: DataFrame, key: str) -> DataFrame:
     return df.join(norm, key).select(key, "terme", (F.col("w") / F.col("_n")).alias("w"))
 
 
+def words(t: DataFrame, *texts: str) -> DataFrame:
+    """``doc, terme, n``: stems of the texts one after the other, and their neighbours (also across two texts)."""
+    split = F.concat(*[tokens(F.col(c), (*FRENCH, *SERVICE_DESK), PHRASES) for c in texts])
+    s = t.select("id", stems(split).alias("_s"))
+    return counts(s, "id", F.concat("_s", bigrams(F.col("_s"))))
+
+
 def by_profile(t: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD, weight: float = CATEGORY_WEIGHT) -> DataFrame:
-    """Competence = 0.7 category share + 0.3 cosine where the category is known, else the cosine; candidates meet through words or category."""
+    """Competence = 0.7 category share + 0.3 cosine where the category is known, else the cosine; candidates meet through words or category.
+
+    Profiles are of title, follow-ups and solution, waiting tickets of title and follow-ups. A ticket without
+    a suggestion stays, with null ``technicien, score, rang``.
+    """
     solved = t.where(~F.col("est_vivant") & filled(F.col("technicien_principal")))
     last = solved.agg(F.max("date_resolution")).first()[0]
     age = F.greatest(F.datediff(F.lit(last), "date_resolution"), F.lit(0))
     owners = solved.select(F.col("id").alias("doc"), F.col("technicien_principal").alias("technicien"), F.coalesce(F.exp(-F.lit(HALF_LIFE) * age), F.lit(0.5)).alias("poids"))
-    centre, idf = centroids(counts(solved, "id", tokens(F.col("titre"))), owners, solved.count())
+    centre, idf = centroids(cut(words(solved, "titre", "suivis_description", "solution"), "mots"), owners, solved.count())
     waiting = _waiting(t)
-    asked = unit(counts(waiting, "id", tokens(F.col("titre"))).join(idf, "terme").select("doc", "terme", ((1 + F.ln("n")) * F.col("idf")).alias("w")), "doc")
+    asked = unit(words(waiting, "titre", "suivis_description").join(idf, "terme").select("doc", "terme", ((1 + F.ln("n")) * F.col("idf")).alias("w")), "doc")
     cosine = asked.join(centre.withColumnRenamed("w", "v"), "terme").groupBy(F.col("doc").alias("id"), "technicien").agg(F.sum(F.col("w") * F.col("v")).alias("cosinus"))
     shares = profiles.select("technicien", F.explode("cat_distribution").alias("categorie_niveau1", "part"))
     base = waiting.select("id", "groupe_principal", "categorie_niveau1")
@@ -72,4 +84,4 @@ def by_profile(t: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD,
     known = filled(F.col("categorie_niveau1"))
     part, cos = F.coalesce("part", F.lit(0.0)), F.coalesce("cosinus", F.lit(0.0))
     pairs = both.select("id", "groupe_principal", "technicien", F.when(F.coalesce(known, F.lit(False)), weight * part + (1 - weight) * cos).otherwise(cos).alias("competence"))
-    return _best(pairs, profiles, t, threshold)
+    return waiting.select("id").join(_best(pairs, profiles, t, threshold), "id", "left")

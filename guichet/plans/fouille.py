@@ -239,8 +239,8 @@ def assignment_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def assignment_by_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The same with 0.3 of the score from the closeness of the ticket's words to the assignee's solved tickets."""
-    t = snapshot(spark, d, "est_vivant", "technicien_principal", "groupe_principal", "categorie_niveau1", "titre", "date_resolution")
+    """The same with 0.3 of the score from the closeness of the ticket's stems and neighbours to the assignee's solved tickets; tickets without a suggestion have nulls."""
+    t = snapshot(spark, d, "est_vivant", "technicien_principal", "groupe_principal", "categorie_niveau1", "titre", "suivis_description", "solution", "date_resolution")
     return affectation.by_profile(cut(t, "tickets"), load(spark, d, "profils"))
 
 

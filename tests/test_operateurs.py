@@ -107,3 +107,16 @@ def test_forecast(spark):
 
 def test_knee():
     assert vecteurs.knee([100, 20, 10, 8, 7]) == 1 and vecteurs.knee([1, 2, 3]) is None and vecteurs.knee([1, 0]) is None
+
+
+def test_profiles_read_the_long_texts(spark):
+    """A word of the follow-ups finds the assignee whose solutions hold its other form; a ticket without a match stays."""
+    from guichet.operators.affectation import by_profile, words
+
+    rows = [(i, False, tech, "", None, "divers", None, text, None) for i, (tech, text) in enumerate([("a", "imprimante bloquée")] * 2 + [("b", "routeur coupé")] * 2)]
+    rows += [(10, True, None, "", None, "divers", "imprimantes bloquées", None, None), (11, True, None, "", None, "zzz", None, None, None)]
+    t = spark.createDataFrame(rows, "id long, est_vivant boolean, technicien_principal string, groupe_principal string, categorie_niveau1 string, titre string, suivis_description string, solution string, date_resolution timestamp_ntz")
+    profiles = spark.createDataFrame([("a", {}, []), ("b", {}, [])], "technicien string, cat_distribution map<string,double>, groupes array<string>")
+    got = {(r.id, r.rang): r.technicien for r in by_profile(t, profiles).collect()}
+    assert got[(10, 1)] == "a" and got[(11, None)] is None
+    assert any("_" in r.terme for r in words(t.where("id = 10"), "titre", "suivis_description").collect())
