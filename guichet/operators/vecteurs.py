@@ -28,10 +28,13 @@ def knee(values: list[float]) -> int | None:
     return best if gaps[best] > 1e-9 else None
 
 
+ITERATIONS = 100
+
+
 def kmeans(df: DataFrame, vector: str = "embedding", low: int = 2, high: int = 10, seed: int = 42) -> DataFrame:
     """``cluster, taille, inertie, silhouette``: k at the knee of the inertia (else the middle), refitted.
 
-    The silhouette is the distributed one over squared distances.
+    The silhouette is the distributed one over squared distances, one for all clusters, on every row.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -42,7 +45,7 @@ def kmeans(df: DataFrame, vector: str = "embedding", low: int = 2, high: int = 1
     ks = list(range(low, min(high, n) + 1))
     if not ks:
         raise ValueError("too few rows for k-means")
-    fits = [KMeans(k=k, seed=seed, maxIter=20, tol=1e-4).fit(data) for k in ks]
+    fits = [KMeans(k=k, seed=seed, maxIter=ITERATIONS, tol=1e-4).fit(data) for k in ks]
     at = knee([f.summary.trainingCost for f in fits])
     model = fits[at if at is not None else len(fits) // 2]
     placed = model.transform(data)

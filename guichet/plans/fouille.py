@@ -254,7 +254,7 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """k-means of the vectors with k by the knee of the inertia, sizes and mean silhouette per cluster."""
+    """k-means of the embeddings (not of tickets) with k by the knee of the inertia: sizes, and the silhouette of all clusters together."""
     return vecteurs.kmeans(load(spark, d, "embeddings"))
 
 

@@ -120,3 +120,14 @@ def test_profiles_read_the_long_texts(spark):
     got = {(r.id, r.rang): r.technicien for r in by_profile(t, profiles).collect()}
     assert got[(10, 1)] == "a" and got[(11, None)] is None
     assert any("_" in r.terme for r in words(t.where("id = 10"), "titre", "suivis_description").collect())
+
+
+def test_kmeans_may_settle_slowly(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    from guichet.operators.vecteurs import kmeans
+
+    seen, plain = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: seen.append(self.getMaxIter()) or plain(self, data))
+    df = spark.createDataFrame([([float(i % 3), float(i)],) for i in range(12)], "embedding array<double>")
+    assert sum(r.taille for r in kmeans(df, high=3).collect()) == 12 and set(seen) == {100}
