@@ -14,8 +14,6 @@ RANKS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
 FREE_TEXTS = ["suivis_description", "solution", "taches_description"]
-#: The pseudonym key of the queries; a deployment passes its own secret.
-KEY = b"guichet-demo-key"
 
 
 def _given(spark: SparkSession, d: str) -> frozenset[str]:
@@ -24,13 +22,13 @@ def _given(spark: SparkSession, d: str) -> frozenset[str]:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each different piece of personal data in a ticket's free texts."""
-    return personnes.find(load(spark, d, "tickets"), "id", FREE_TEXTS, _given(spark, d))
+    return personnes.find(load(spark, d, "tickets"), "id", FREE_TEXTS, _given(spark, d), personnes.secret_of(spark)).select("id", "champ", "genre", "valeur")
 
 
 def p1_masque(spark: SparkSession, d: str) -> DataFrame:
     """The free texts with each piece replaced by a typed, linked placeholder."""
     t = load(spark, d, "tickets").select("id", "import_id", *FREE_TEXTS)
-    return personnes.mask(t, FREE_TEXTS, _given(spark, d), KEY)
+    return personnes.mask(t, FREE_TEXTS, _given(spark, d), personnes.secret_of(spark))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

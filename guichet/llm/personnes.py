@@ -1,26 +1,38 @@
 """Personal data in free text: find it, list it, replace it by typed placeholders.
 
-Numbers are found by form and confirmed by their own checks (phone plans, the key of social-security
-numbers); addresses and names by their grammar in the text around them. Replacements are linked: a
-keyed Feistel network permutes a validated number within its format (a phone number becomes another
-phone number written alike, a social-security number another one with a right key), so equal
-values get equal pseudonyms in every document, and the text stays readable.
+Numbers and dates are found by form and confirmed by their own checks (phone plan, the key of
+social-security numbers, the month of cards, the calendar); addresses and names by their grammar in
+the text around them. Replacements are linked: a keyed Feistel network permutes the index of a
+validated value among all valid values of its format (a phone number becomes another phone number
+written alike, a social-security number another one with a right key, Corsican ones included, a
+date another real day), so equal values get equal pseudonyms in every document, different numbers
+different ones, and the text stays readable. What has no number format (e-mails, addresses, names)
+gets a keyed token of 80 bits.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
+from datetime import date, timedelta
+from functools import lru_cache
+from math import isqrt, prod
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting of the session that holds the secret of the pseudonyms.
+KEY_SETTING = "spark.guichet.pseudonym.key"
 KINDS = ("courriel", "telephone", "identite", "adresse", "nom")
 #: Given names are a closed vocabulary of this many entries at most (all languages' together are fewer).
 GIVEN_MOST = 200_000
+#: Masked like ``KINDS``, but not listed by ``find``: dates of birth, told by the words before them.
+BIRTH = "naissance"
 # Forms of address before a name.
 TITLES = ("M.", "MM.", "Mr", "Mr.", "Mme", "Mmes", "Mlle", "Me", "Dr", "Dr.", "Pr", "Pr.", "Monsieur", "Madame", "Mademoiselle", "Maître", "Docteur", "Professeur")
 # Kinds of streets, with usual abbreviations.
@@ -42,6 +54,11 @@ PHONE = re.compile(
 )
 NIR = re.compile(rf"(?<![\w.-])(?<!\d[ ,])[1-478](?P<s>{_SP}|[.-]|)\d\d(?P=s)\d\d(?P=s)(?:\d\d|2[AB])(?P=s)\d{{3}}(?P=s)\d{{3}}(?:(?P=s)|{_SP})\d\d(?![\w]|[.-]?\d)")
 CARD = re.compile(r"(?<![\w.-])(?<!\d[ ,])\d{4} ?\d{2}[A-Z] ?\d{5}(?![\w]|[.-]?\d)")
+# French months, as dates of birth write them.
+MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+BORN = re.compile(
+    rf"(?i)(?<!\w)(?:née?(?:\(e\))? le|date de naissance(?: ?:| est le)?|ddn ?:?)(?:{_SP})*(?P<d>\d{{1,2}}(?P<s>[/.-])\d{{1,2}}(?P=s)(?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:er)? (?:{'|'.join(MONTHS)}) \d{{4}})(?![\w/-]|\.\d)"
+)
 _WORD = rf"[{_UP}][\w’'-]*"
 _STREET = "|".join(sorted((re.escape(s) for s in STREETS), key=len, reverse=True))
 _PART = r"(?i:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]|aux|au)(?: |(?<=['’]))"
@@ -56,11 +73,39 @@ _LOWER = re.compile(r"(?<![\w@.’'/-])([a-zà-ÿœ]+(?:-[a-zà-ÿœ]+)?) ([a-z
 _INITIAL = re.compile(rf"[{_UP}](?:-[{_UP}])?\.$")
 
 
+#: Months a social-security number may hold: real ones, and those of unknown or foreign births.
+NIR_MONTHS = tuple(f"{m:02d}" for m in (*range(1, 13), *range(20, 43), *range(50, 100)))
+
+
+def nir_key(number: str) -> int:
+    """The key of 13 characters: 97 - (number mod 97); Corsican departments 2A and 2B count as 19 and 18."""
+    return 97 - int(number.replace("2A", "19").replace("2B", "18")) % 97
+
+
 def nir_valid(digits: str) -> bool:
-    """15 characters: month and the key 97 - (number mod 97); Corsican departments count as 19 and 18."""
-    month = int(digits[3:5])
-    number = int(digits[:13].replace("2A", "19").replace("2B", "18"))
-    return (1 <= month <= 12 or 20 <= month <= 42 or month >= 50) and 97 - number % 97 == int(digits[13:])
+    """15 characters with a possible month and a right key."""
+    return digits[3:5] in NIR_MONTHS and nir_key(digits[:13]) == int(digits[13:])
+
+
+def card_valid(bare: str) -> bool:
+    """12 characters of an identity card: year, month, department, letter, number; the month must be one."""
+    return "01" <= bare[2:4] <= "12"
+
+
+def day_of(text: str) -> tuple[date, str] | None:
+    """(day, form) of a written date; None if the calendar has no such day. Two-digit years are of 19xx."""
+    if m := re.fullmatch(r"(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4}|\d{2})", text):
+        parts, form = (int(m[4]) + 1900 * (len(m[4]) == 2), int(m[3]), int(m[1])), "court" if len(m[4]) == 2 else "jour"
+    elif m := re.fullmatch(r"(\d{4})-(\d{2})-(\d{2})", text):
+        parts, form = (int(m[1]), int(m[2]), int(m[3])), "annee"
+    elif m := re.fullmatch(r"(\d{1,2})(?:er)? (\w+) (\d{4})", text):
+        parts, form = (int(m[3]), MONTHS.index(m[2].lower()) + 1, int(m[1])), "mots"
+    else:
+        return None
+    try:
+        return date(*parts), form
+    except ValueError:
+        return None
 
 
 def _bare(s: str) -> str:
@@ -129,10 +174,11 @@ def _lower_names(text: str, given: frozenset[str], taken: list[tuple[int, int, s
         yield m.start(), m.end(), "nom"
 
 
-def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
+def spans(text: str, given: frozenset[str], births: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal data in a text, in order, never overlapping.
 
-    Kinds found first keep their place: e-mails, identity numbers, phones, addresses, names.
+    Kinds found first keep their place: e-mails, identity numbers, phones, addresses, names. With
+    ``births`` also the dates of birth; other dates (of entries, of events) are no personal data.
     """
     found: list[tuple[int, int, str]] = []
 
@@ -144,7 +190,9 @@ def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     if "@" in text or "(a" in text or "[a" in text:
         add(EMAIL, "courriel")
     add(NIR, "identite", lambda s: nir_valid(_bare(s)))
-    add(CARD, "identite")
+    add(CARD, "identite", lambda s: card_valid(_bare(s)))
+    if births:
+        found += [(m.start("d"), m.end("d"), BIRTH) for m in BORN.finditer(text) if day_of(m["d"])]
     add(PHONE, "telephone")
     add(ADDRESS, "adresse")
     found += list(_names(text, given, found))
@@ -167,8 +215,8 @@ def given_names(df: DataFrame, columns: list[str]) -> frozenset[str]:
     return frozenset(r.p for r in rows)
 
 
-def find(df: DataFrame, key: str, columns: list[str], given: frozenset[str]) -> DataFrame:
-    """``id, champ, genre, valeur``: each different piece in each field of a record.
+def find(df: DataFrame, key: str, columns: list[str], given: frozenset[str], secret: bytes) -> DataFrame:
+    """``id, champ, genre, valeur, pseudonyme``: each different piece in each field of a record, and what it becomes.
 
     Null and empty texts give nothing; rows of one id give each piece once. Only ``key`` and
     ``columns`` are read. One narrow pass over whole texts, then a distinct of what was found.
@@ -182,11 +230,23 @@ def find(df: DataFrame, key: str, columns: list[str], given: frozenset[str]) ->
             for c, name in enumerate(columns, 1):
                 for i, text in zip(ids, batch.column(c).to_pylist()):
                     if text:
-                        out.update((i, name, kind, text[a:b]) for a, b, kind in spans(text, known.value))
-            rows = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.string()) for r in rows[1:])], ["id", "champ", "genre", "valeur"])
+                        out.update((i, name, kind, text[a:b], pseudonym(kind, text[a:b], secret)) for a, b, kind in spans(text, known.value))
+            rows = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.string()) for r in rows[1:])], ["id", "champ", "genre", "valeur", "pseudonyme"])
 
-    return df.select(F.col(key).cast("long").alias("id"), *columns).mapInArrow(run, "id long, champ string, genre string, valeur string").distinct()
+    return df.select(F.col(key).cast("long").alias("id"), *columns).mapInArrow(run, "id long, champ string, genre string, valeur string, pseudonyme string").distinct()
+
+
+_OWN_SECRETS: dict[str, bytes] = {}
+
+
+def secret_of(spark: SparkSession) -> bytes:
+    """The secret of ``KEY_SETTING``. Unset, a random one for this application: pseudonyms are then linked
+    within it and nowhere else, and no one can recompute them."""
+    given = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None)
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    return _OWN_SECRETS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 # Pseudonyms
@@ -198,9 +258,7 @@ def _round(key: bytes, tag: bytes, half: int, size: int) -> int:
 
 def permute(value: int, size: int, key: bytes, tweak: str = "", back: bool = False) -> int:
     """A keyed permutation of 0..size-1: a ten-round Feistel network over two halves, walked until it falls inside."""
-    a = 1
-    while a * a < size:
-        a += 1
+    a = max(1, isqrt(size - 1) + 1)
     b = -(-size // a)
     rounds = range(10)
     while True:
@@ -218,11 +276,53 @@ def permute(value: int, size: int, key: bytes, tweak: str = "", back: bool = Fal
             return value
 
 
-def _refill(form: str, digits: str, skip: int = 0) -> str:
-    """``form`` with its digits from number ``skip`` on replaced in order."""
-    it, out, n = iter(digits), [], 0
+class Format:
+    """Texts made of fields one after the other, and their index among all such texts.
+
+    A field is the number of its digits, or the tuple of its allowed texts (all of one length).
+    """
+
+    def __init__(self, name: str, *fields: int | tuple[str, ...]):
+        self.name = name
+        self.fields = [(f, 10**f) if isinstance(f, int) else (len(f[0]), len(f)) for f in fields]
+        self.texts = [None if isinstance(f, int) else f for f in fields]
+        self.places = [None if isinstance(f, int) else {t: i for i, t in enumerate(f)} for f in fields]
+        self.size = prod(n for _, n in self.fields)
+
+    def index(self, text: str) -> int:
+        out, at = 0, 0
+        for (width, n), place in zip(self.fields, self.places):
+            part = text[at : at + width]
+            out, at = out * n + (place[part] if place else int(part)), at + width
+        return out
+
+    def text(self, index: int) -> str:
+        out = []
+        for (width, n), texts in zip(reversed(self.fields), reversed(self.texts)):
+            index, part = divmod(index, n)
+            out.append(texts[part] if texts else f"{part:0{width}d}")
+        return "".join(reversed(out))
+
+    def permuted(self, text: str, key: bytes) -> str:
+        return self.text(permute(self.index(text), self.size, key, self.name))
+
+
+_LETTERS = tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_SEX = ("1", "2", "3", "4", "7", "8")
+# Numbers of mainland departments stay such, and Corsican ones Corsican: each format is permuted in itself.
+NIR_FORMAT = Format("nir", _SEX, 2, NIR_MONTHS, 2, 3, 3)
+NIR_CORSICA = Format("nir-corse", _SEX, 2, NIR_MONTHS, ("2A", "2B"), 3, 3)
+CARD_FORMAT = Format("carte", 2, tuple(f"{m:02d}" for m in range(1, 13)), 2, _LETTERS, 5)
+PHONE_FORMATS = {str(d): Format(f"tel{d}", 8) for d in range(1, 10)}  # the first digit tells the kind of line and stays
+_CENTURIES = (date(1900, 1, 1), date(2100, 1, 1))  # dates of birth outside are permuted within their own year
+_SHORT_DATES = (date(1900, 1, 1), date(2000, 1, 1))
+
+
+def _refill(form: str, new: str, skip: int = 0) -> str:
+    """``form`` with its digits and capitals from number ``skip`` on replaced in order."""
+    it, out, n = iter(new), [], 0
     for c in form:
-        if c.isdigit():
+        if c.isdigit() or c in _LETTERS:
             n += 1
             out.append(next(it) if n > skip else c)
         else:
@@ -230,26 +330,37 @@ def _refill(form: str, digits: str, skip: int = 0) -> str:
     return "".join(out)
 
 
+def _date_pseudonym(value: str, key: bytes) -> str:
+    day, form = day_of(value)
+    first, end = _SHORT_DATES if form == "court" else _CENTURIES
+    if not first <= day < end:
+        first, end = date(day.year, 1, 1), date(day.year, 12, 31) + timedelta(day.year < 9999)
+    new = first + timedelta(permute((day - first).days, (end - first).days, key, f"jour/{first}/{end}"))
+    if form == "annee":
+        return new.isoformat()
+    if form == "mots":
+        return f"{new.day}{'er' if new.day == 1 else ''} {MONTHS[new.month - 1]} {new.year}"
+    separator = re.search(r"\D", value)[0]
+    return separator.join((f"{new.day:02d}", f"{new.month:02d}", f"{new.year:04d}" if form == "jour" else f"{new.year % 100:02d}"))
+
+
+@lru_cache(maxsize=100_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     """A linked replacement in the value's own format; e-mails, addresses and names get a keyed token of their folded form."""
     if kind == "telephone":
-        digits = re.sub(r"\D", "", value.replace("(0)", ""))
-        digits = digits[-9:]  # the national number: the same in every notation
-        new = f"{permute(int(digits[1:]), 10**8, key, 'tel' + digits[0]):08d}"
+        digits = re.sub(r"\D", "", value.replace("(0)", ""))[-9:]  # the national number: the same in every notation
+        new = PHONE_FORMATS[digits[0]].permuted(digits[1:], key)
         return _refill(value, new, sum(c.isdigit() for c in value) - 8)
     if kind == "identite":
         bare = _bare(value)
-        if bare.isdigit() and len(bare) == 15:
-            month = int(bare[3:5])
-            head, tail = (int(bare[0]) - 1) % 2 * 1200 + int(bare[1:3]) * 12 + (month - 1) % 12, int(bare[5:13])
-            n = permute(head * 10**8 + tail, 2400 * 10**8, key, "nir")
-            head, tail = divmod(n, 10**8)
-            number = f"{head // 1200 + 1}{head % 1200 // 12:02d}{head % 12 + 1:02d}{tail:08d}"
-            return _refill(value, number + f"{97 - int(number) % 97:02d}")
-        digits = re.sub(r"\D", "", bare)
-        return _refill(value, f"{permute(int(digits), 10 ** len(digits), key, 'carte'):0{len(digits)}d}")
+        if len(bare) == 15:
+            number = (NIR_CORSICA if bare[5:7] in ("2A", "2B") else NIR_FORMAT).permuted(bare[:13], key)
+            return _refill(value, number + f"{nir_key(number):02d}")
+        return _refill(value, CARD_FORMAT.permuted(bare, key))
+    if kind == BIRTH:
+        return _date_pseudonym(value, key)
     folded = re.sub(r"\s+", " ", value).casefold()
-    return hashlib.blake2b(f"{kind}/{folded}".encode(), key=key, digest_size=5).hexdigest()
+    return base64.b32encode(hashlib.blake2b(f"{kind}/{folded}".encode(), key=key, digest_size=10).digest()).decode().lower()
 
 
 def mask_text(text: str | None, given: frozenset[str], key: bytes) -> str | None:
@@ -257,7 +368,7 @@ def mask_text(text: str | None, given: frozenset[str], key: bytes) -> str | None
     if not text:
         return text
     out, at = [], 0
-    for a, b, kind in spans(text, given):
+    for a, b, kind in spans(text, given, births=True):
         out += [text[at:a], f"[{kind.upper()}:{pseudonym(kind, text[a:b], key)}]"]
         at = b
     return "".join([*out, text[at:]])
