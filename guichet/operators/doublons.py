@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guichet.functions.mots import jaro_winkler_column
-from guichet.session import cut
+from guichet.operators.ordre import running
 
 SMALL, REACH = 500, 30
 
 
 def ranked(df: DataFrame, by: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds ``pos`` (from 1) within ``by`` and ``taille``, without bringing a group into one task.
-
-    Rows are range-sorted over all partitions; a row's position is its place in its partition plus the
-    group's rows in earlier partitions.
-    """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, by, *order).withColumn("_p", F.spark_partition_id()), "rangs")
-    counts = placed.groupBy(by, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(by).orderBy("_p")
-    offsets = counts.withColumns({"_avant": F.sum("_n").over(w) - F.col("_n"), "taille": F.sum("_n").over(Window.partitionBy(by))}).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))
-    return placed.withColumn("_i", inner).join(offsets, [by, "_p"]).withColumn("pos", F.col("_avant") + F.col("_i")).drop("_p", "_i", "_avant")
+    """Adds ``pos`` (from 1) within ``by`` and ``taille``, without bringing a group into one task."""
+    return running(df, [by], order, out="pos", total="taille", partitions=partitions)
 
 
 def similar_titles(df: DataFrame, threshold: float, small: int = SMALL, reach: int = REACH) -> DataFrame:

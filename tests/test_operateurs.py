@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guichet.functions import mots
-from guichet.operators import corpus, doublons, instantane, periodes, prevision, vecteurs
+from guichet.operators import corpus, doublons, instantane, ordre, periodes, prevision, vecteurs
 from guichet.operators.hierarchie import rolled_up
 
 
@@ -131,3 +131,36 @@ def test_kmeans_may_settle_slowly(spark, monkeypatch):
     monkeypatch.setattr(KMeans, "fit", lambda self, data: seen.append(self.getMaxIter()) or plain(self, data))
     df = spark.createDataFrame([([float(i % 3), float(i)],) for i in range(12)], "embedding array<double>")
     assert sum(r.taille for r in kmeans(df, high=3).collect()) == 12 and set(seen) == {100}
+
+
+def test_running_sums(spark):
+    """Against a plain fold: a hot group over several partitions, the null group, no group, nothing."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [("gros" if i % 3 else None, rnd.randrange(50), i, rnd.randrange(9)) for i in range(600)] + [("seul", 1, 1000, 5)]
+    df = spark.createDataFrame(rows, "g string, o int, id long, v long")
+    want, sums = {}, {}
+    for g, _, i, v in sorted(rows, key=lambda r: (repr(r[0]), r[1], r[2])):
+        want[i] = sums[g] = sums.get(g, 0) + v
+    got = ordre.running(df, ["g"], ["o", "id"], "v", total="t", partitions=5).collect()
+    assert {r.id: r.cumul for r in got} == want and all(r.t == sums[r.g] for r in got)
+    every = sorted(rows, key=lambda r: (r[1], r[2]))
+    assert [r.id for r in ordre.running(df, [], ["o", "id"], out="pos", partitions=5).orderBy("pos").collect()] == [r[2] for r in every]
+    assert ordre.running(df.limit(0), ["g"], ["o", "id"], "v").count() == 0
+
+
+def test_percentiles_of_groups(spark):
+    import numpy as np
+
+    rows = [("a" if i % 4 else None, float((i * 37) % 101) / 7) for i in range(400)] + [("un", 2.5), ("vide", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    base = df.groupBy("g").agg(F.count("*").alias("k"))
+    got = {r.g: r for r in ordre.with_percentiles(base, df, ["g"], "x", {"m": 0.5, "p": 0.9}).collect()}
+    for g in ("a", None, "un"):
+        values = [x for h, x in rows if h == g]
+        assert abs(got[g].m - np.quantile(values, 0.5)) < 1e-9 and abs(got[g].p - np.quantile(values, 0.9)) < 1e-9
+    assert got["vide"].m is None and got["vide"].k == 1
+    one = ordre.with_percentiles(df.agg(F.count("x").alias("k")), df, [], "x", {"m": 0.5}).first()
+    assert abs(one.m - np.quantile([x for _, x in rows if x is not None], 0.5)) < 1e-9
+    assert ordre.with_percentiles(df.limit(0).agg(F.count("x").alias("k")), df.limit(0), [], "x", {"m": 0.5}).first().m is None
