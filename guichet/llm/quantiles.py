@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guichet.session import cut
+from guichet.operators import ordre
 
 
 def newest(df: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
@@ -51,25 +51,7 @@ def merge(*tables: DataFrame) -> DataFrame:
 def percentiles(table: DataFrame, ranks: list[float], partitions: int | None = None) -> DataFrame:
     """``dimension, groupe, n, rang (0..1), valeur (double)``; linear interpolation at rank * (n - 1).
 
-    An empty table gives no rows; equal values share one row of the table. The sorted table is written
-    before its partitions are numbered, so a lost executor can't shift a row between partitions.
+    An empty table gives no rows; equal values share one row of the table. The sort and its offsets are
+    those of ``operators.ordre``.
     """
-    spark = table.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["dimension", "groupe"]
-    ranged = table.repartitionByRange(parts, *key, "valeur").sortWithinPartitions(*key, "valeur").withColumn("_p", F.spark_partition_id())
-    ranged = cut(ranged, "tri")
-    counts = ranged.groupBy(*key, "_p").agg(F.sum("n").alias("_c"))  # at most groups + partitions rows
-    w = Window.partitionBy(*key).orderBy("_p")
-    offsets = counts.withColumn("_avant", F.sum("_c").over(w) - F.col("_c")).withColumn("n_total", F.sum("_c").over(Window.partitionBy(*key)))
-    wanted = offsets.select("*", F.explode(F.array(*[F.lit(float(r)) for r in ranks])).alias("rang")).withColumn("_pos", F.col("rang") * (F.col("n_total") - 1))
-    sides = wanted.select(*key, "_p", "_c", "_avant", "n_total", "rang", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_k")).distinct()
-    here = sides.where((F.col("_k") >= F.col("_avant")) & (F.col("_k") < F.col("_avant") + F.col("_c")))
-    targets = here.groupBy(*key, "_p", "_avant", "n_total").agg(F.collect_list(F.struct("rang", "_pos", "_k")).alias("_t"))  # at most 2 * len(ranks) each
-    targets = targets.select(F.col("dimension").alias("_d"), F.col("groupe").alias("_g"), F.col("_p").alias("_q"), "_avant", "n_total", "_t")
-    joined = ranged.join(targets, (F.col("dimension") == F.col("_d")) & F.col("groupe").eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
-    run = Window.partitionBy(*key, "_p").orderBy("valeur").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = joined.withColumn("_fin", F.col("_avant") + F.sum("n").over(run)).withColumn("_debut", F.col("_fin") - F.col("n"))
-    hit = placed.select(*key, "n_total", "valeur", F.explode(F.filter("_t", lambda t: (t["_k"] >= F.col("_debut")) & (t["_k"] < F.col("_fin")))).alias("t"))
-    low, high = F.min("valeur"), F.max("valeur")
-    return hit.groupBy(*key, F.col("n_total").alias("n"), F.col("t.rang").alias("rang")).agg((low + (high - low) * (F.first("t._pos") - F.floor(F.first("t._pos")))).alias("valeur"))
+    return ordre.percentiles(table, ["dimension", "groupe"], "valeur", ranks, partitions)
