@@ -4,7 +4,10 @@ Lengths are recomputed as storage systems count them (characters, UTF-8 bytes, U
 HTML or JSON escapes, with CRLF). Per source and measure, a length far more frequent than its
 neighbours exposes a limit. Endings are then inspected: a text is cut if it stops within a word,
 sentence or tag; greetings, signatures, list entries, references and replies are whole although no
-stop ends them. All of it runs in JVM expressions over whole texts.
+stop ends them. Customary closings are learned the way limits are: a last line that is far more
+frequent among different texts than its own beginnings is a closing, for a text cut by chance stops
+at a line's every letter alike. No threshold follows the number of texts, so a document is judged
+alike in a small and in a large collection. All of it runs in JVM expressions over whole texts.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from guichet.session import cut
 
-# Closings that end a text without a full stop, lower case.
+# Closings that end a text without a full stop, lower case; a seed for collections too small to show them.
 CLOSINGS = (
     "cordialement", "bien cordialement", "bien à vous", "merci", "merci d'avance", "merci beaucoup", "bonne journée", "bonne réception", "sincères salutations",
     "à bientôt", "à tout de suite", "ok", "ok merci", "parfait", "nickel", "ça marche", "pas de souci", "je regarde", "je clos alors", "c'est bon pour moi",
@@ -24,11 +27,13 @@ CLOSINGS = (
 )
 # Words that announce more to come, so that an ellipsis after them cuts nothing.
 CONTINUED = (r"\? suivre", "a suivre", "to be continued")  # accents as _line_key writes them
-#: A last line shared by this part of all different texts (and by LINE_LEAST) is a customary closing.
-LINE_SHARE, LINE_LEAST, LINE_CHARS = 0.0005, 4, 60
+#: A last line of LINE_LEAST different texts, LINE_TIMES as many as each of its SHORTER forms has in the mean, is a closing.
+LINE_LEAST, LINE_TIMES, SHORTER, LINE_CHARS = 4, 5.0, 8, 60
 #: A length this many times as frequent as the mean of its 30 neighbours, and in LIMIT_LEAST texts, is a limit.
 LIMIT_TIMES, LIMIT_LEAST = 5.0, 6
 _AROUND = 15
+#: A table of closings of at most so many rows (of 60 characters) is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
 _BLANK = r"[\s\u00A0\u1680\u2000-\u200B\u202F\u205F\u3000\uFEFF]"
 _TRAILING = " \t\n\r\x0b\x0c\u00a0\u1680\u2007\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
 _TAIL = 64  # characters of an ending: longer than any form looked for there
@@ -77,15 +82,16 @@ def _lengths(seen: DataFrame, key: str) -> DataFrame:
 
 
 def limits(seen: DataFrame, key: str) -> DataFrame:
-    """``source, mesure, limite, textes, attendus`` of an inspected table: lengths at which a source's texts pile up.
+    """``source, mesure, limite, textes, attendus`` of an inspected table: lengths at which a source's texts pile up, short ones included.
 
     The histogram is pre-aggregated on the map side; its rows are bounded by sources, measures and
     lengths.
     """
     names = F.array(*[F.lit(m) for m in MEASURES])
-    histogram = _lengths(seen, key).where(F.col("longueur") > 2 * _AROUND).groupBy("source", "_i", "longueur").agg(F.count(F.lit(1)).alias("textes")).withColumn("mesure", F.get(names, F.col("_i")))
+    histogram = _lengths(seen, key).groupBy("source", "_i", "longueur").agg(F.count(F.lit(1)).alias("textes")).withColumn("mesure", F.get(names, F.col("_i")))
     near = Window.partitionBy("source", "mesure").orderBy("longueur").rangeBetween(-_AROUND, _AROUND)
-    spiky = histogram.withColumn("attendus", (F.sum("textes").over(near) - F.col("textes")) / (2 * _AROUND))
+    neighbours = F.least(F.col("longueur") - 1, F.lit(_AROUND)) + _AROUND  # lengths begin at 1
+    spiky = histogram.withColumn("attendus", (F.sum("textes").over(near) - F.col("textes")) / neighbours)
     found = spiky.where((F.col("textes") >= LIMIT_LEAST) & (F.col("textes") > LIMIT_TIMES * F.col("attendus") + LIMIT_LEAST))
     # A pile seen by one measure echoes in others; a limit whose texts mostly sit at a stronger one is such an echo.
     found = found.select(F.col("source").alias("_s"), F.col("_i").alias("_m"), "mesure", F.col("longueur").alias("limite"), "textes", "attendus")
@@ -124,7 +130,7 @@ def _endings(d: DataFrame, key: str) -> DataFrame:
     framed = line.rlike(r"^\[.*\]$|^\(.*\)$")
     closing = F.lower(F.regexp_replace(line, r"[,;:]$", "")).isin(*CLOSINGS)
     announced = F.col("_m").isNotNull() & _line_key(end).rlike("(?:" + "|".join(CONTINUED) + ")$")
-    short = (F.length(line) <= LINE_CHARS) & (F.length(line) > 1)
+    short = F.length(line).between(1, LINE_CHARS)
     blank = F.col("_x") == ""
     return d.select(
         key, "source", "longueurs", blank.alias("vide"), (open_tag & ~blank).alias("dans_balise"), (blank | (stopped & ~part_number) | reference | framed | closing | announced).alias("entier"), entry.alias("entree"), (entry & line.rlike(r"\d$")).alias("entree_numerotee"), F.when(short, _line_key(line)).alias("cle_ligne"), F.xxhash64("_x").alias("empreinte")
@@ -132,10 +138,19 @@ def _endings(d: DataFrame, key: str) -> DataFrame:
 
 
 def customary(ends: DataFrame) -> DataFrame:
-    """``cle_ligne``: last lines shared by many different texts. At most 1 / LINE_SHARE rows, however many texts."""
-    least = max(LINE_LEAST, LINE_SHARE * ends.agg(F.count_distinct("empreinte")).first()[0])
-    short = ends.where(F.col("cle_ligne").isNotNull()).select("cle_ligne", "empreinte").distinct().groupBy("cle_ligne").agg(F.count(F.lit(1)).alias("_n"))
-    return short.where(F.col("_n") >= F.lit(least)).select(F.col("cle_ligne").alias("_usuelle"))
+    """``_usuelle``: last lines that end many different texts, but whose own beginnings end few.
+
+    A closing ends texts as a whole; a line that texts were cut in ends them at each of its letters
+    alike. A line counts if its different texts are ``LINE_LEAST`` and more than ``LINE_TIMES`` the mean of
+    its ``SHORTER`` forms with one to eight characters less. Both sides of the comparison grow with the texts.
+    """
+    lines = ends.where(F.col("cle_ligne").isNotNull()).select("cle_ligne", "empreinte").distinct().groupBy("cle_ligne").agg(F.count(F.lit(1)).alias("_n"))
+    often = lines.where((F.col("_n") >= LINE_LEAST) & (F.length("cle_ligne") > 1))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(SHORTER)), lambda k: F.left(F.col("cle_ligne"), F.length("cle_ligne") - k))
+    forms = often.select(F.col("cle_ligne").alias("_usuelle"), F.explode(F.filter(cuts, lambda x: x != "")).alias("cle_ligne"))
+    shorter = forms.join(lines, "cle_ligne").groupBy("_usuelle").agg(F.sum("_n").alias("_s"))
+    every = often.select(F.col("cle_ligne").alias("_usuelle"), "_n", F.least(F.length("cle_ligne") - 1, F.lit(SHORTER)).alias("_k")).join(shorter, "_usuelle", "left")
+    return every.where(F.col("_n") > LINE_TIMES * F.coalesce("_s", F.lit(0)) / F.col("_k")).select("_usuelle")
 
 
 def at_limit(seen: DataFrame, key: str) -> DataFrame:
@@ -151,7 +166,9 @@ def at_limit(seen: DataFrame, key: str) -> DataFrame:
 
 def _judged(seen: DataFrame, key: str) -> DataFrame:
     """The inspected rows with ``coupe``."""
-    known = F.broadcast(customary(seen))  # bounded: see customary
+    known = cut(customary(seen), "usuelles")
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     suspects = at_limit(seen, key).select(F.col(key).alias("_cle"))
     joined = seen.join(known, F.col("cle_ligne") == F.col("_usuelle"), "left").join(suspects, F.col(key) == F.col("_cle"), "left")
     entry = F.col("entree") & (F.col("_cle").isNull() | F.col("entree_numerotee"))

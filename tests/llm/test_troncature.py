@@ -1,5 +1,7 @@
 """Truncated texts."""
 
+from pyspark.sql import functions as F
+
 from guichet.llm.troncature import at_limit, inspected, limits, rates, truncated
 
 CASES = {
@@ -38,3 +40,26 @@ def test_rates_and_empty(spark):
     df = spark.createDataFrame([(1, "Fini.", "a"), (2, "pas fin", "a"), (2, "pas fin", "a"), (3, None, "a"), (4, " ", "b")], "doc_id long, text string, source string")
     assert [(r.source, r.textes, r.coupes) for r in rates(df, "doc_id", "text", "source").collect()] == [("a", 3, 2)]
     assert truncated(df.limit(0), "doc_id", "text", "source").count() == 0 and limits(inspected(df.limit(0), "doc_id", "text", "source"), "doc_id").count() == 0
+
+
+def test_verdicts_do_not_depend_on_the_number_of_texts(spark):
+    """Six texts with an unlisted closing are whole, and one cut in it is cut, beside 300 and 30,000 others."""
+    own = [(i, f"Le poste {i} est rendu.\nAmicalement vôtre", "s") for i in range(6)] + [(6, "Le poste 6 est rendu.\nAmicalement vô", "s")]
+    for n in (300, 30_000):
+        others = spark.range(n).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("Le dossier "), F.col("id"), F.lit(" est clos.")).alias("text"), F.lit("s").alias("source"))
+        df = spark.createDataFrame(own, "doc_id long, text string, source string").unionByName(others)
+        assert [r.doc_id for r in truncated(df, "doc_id", "text", "source").collect()] == [6]
+
+
+def test_a_line_cut_anywhere_is_no_closing(spark):
+    """A frequent last sentence cut at each of its letters in many texts makes none of its beginnings a closing."""
+    line = "le routeur du premier palier redémarre seul chaque nuit"
+    rows = [(1000 * k + n, f"Constat {k}.{n} noté.\n{line[:k]}", "s") for k in range(1, len(line)) for n in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert truncated(df, "doc_id", "text", "source").count() == len(rows)
+
+
+def test_short_limits(spark):
+    rows = [(i, f"{i * 7919:x}".ljust(19, "q") + "z", "court") for i in range(60)]
+    seen = inspected(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    assert {(r.mesure, r.limite) for r in limits(seen, "doc_id").collect()} == {("caracteres", 20)}
