@@ -9,10 +9,12 @@ similarity threshold bounds that difference for every pair of set sizes, which g
 * the filter: within a cell, size bands are compared by sketch, vectorised, never pair by pair;
 * the check: what is left is verified on the word sets themselves.
 
-The pigeonhole is taken over single sketch bits in order of rarity instead of blocks of equal
-width: on texts made of few phrases, equal-width blocks hold one or two common words and select
-nothing. Nothing is approximated: every pair at or above the threshold is found, once.
-Word hashes keep 40 bits; only a collision within one pair's own words could matter.
+The cells are those of single word hashes, not of blocks of a sketch: a pigeonhole over blocks of
+equal width needs one block more than bits may differ (28 to 45 here), and a block then holds about
+two words. The README has the figures of both. Nothing is approximated: every pair at or above the
+threshold is found, once. Word hashes keep 40 bits; only a collision within one pair's own words could
+matter. Equal sets are one class, numbered by 64 bits of their digest: among n different sets two
+share a number, and count as one, with a chance of n * n / 3.7e19 (0.03 % at a hundred million).
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ BUCKET_BITS = 18  # word frequencies are counted in 2**18 hash buckets: a fixed
 #: A cell beyond so many records is split into blocks that meet pairwise in tasks of their own.
 CELL = 50_000
 FEW = 64  # cells of at most so many records are compared together
+#: A class of more records than this is joined in pieces of about this size.
+PIECE = 50_000
 PAIRS = 1_000_000  # found pairs a task holds before it drops repeated ones and sends the rest
 SKETCH = ("s1", "s2", "s3", "s4")
 _STEP = 512  # rows of one vectorised comparison
@@ -190,7 +194,7 @@ def cell_rows(sets: DataFrame, bounds: Bounds) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
     blocks = spark.sparkContext.broadcast(-(-_sum_buckets(source.mapInArrow(count_cells, "b int, n long")) // CELL))
-    schema = pa.schema([("cle", pa.int64()), ("bloc", pa.int32()), ("cote", pa.int32()), ("classe", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((k, pa.int64()) for k in SKETCH)])
+    schema = pa.schema([("cle", pa.int64()), ("bloc", pa.int64()), ("cote", pa.int32()), ("classe", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((k, pa.int64()) for k in SKETCH)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for classes, blobs in _unseen(batches):
@@ -206,14 +210,14 @@ def cell_rows(sets: DataFrame, bounds: Bounds) -> DataFrame:
             r = row[times]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(word[times].astype(np.int64)), pa.array((low * 65536 + high).astype(np.int32)), pa.array(np.where(low == high, 0, np.where(mine == low, 1, 2)).astype(np.int32)),
+                    pa.array(word[times].astype(np.int64)), pa.array((low << 32) + high), pa.array(np.where(low == high, 0, np.where(mine == low, 1, 2)).astype(np.int32)),
                     pa.array(classes[r]), pa.array(lengths[r].astype(np.int32)), pa.array(pos[times].astype(np.int32)),
                     *(pa.array(np.ascontiguousarray(sketch[r, k]).view(np.int64)) for k in range(len(SKETCH))),
                 ],
                 schema=schema,
             )
 
-    return source.mapInArrow(emit, "cle long, bloc int, cote int, classe long, n int, pos int, " + ", ".join(f"{k} long" for k in SKETCH))
+    return source.mapInArrow(emit, "cle long, bloc long, cote int, classe long, n int, pos int, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
 def _compare(a: dict, b: dict | None, bounds: Bounds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -374,12 +378,34 @@ def linked_classes(df: DataFrame, key: str, texts: list[str], least: int, thresh
     return sets.select("id", "classe").distinct(), links
 
 
+def _pieces(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``id, classe, piece``, ``classe, pieces`` of the classes of several pieces or None)."""
+    big = members.groupBy("classe").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PIECE)
+    big = cut(big.select("classe", F.ceil(F.col("_n") / PIECE).cast("int").alias("pieces")), "grandes")
+    if big.isEmpty():
+        return members.withColumn("piece", F.lit(0)), None
+    placed = members.join(big, "classe", "left")
+    return placed.select("id", "classe", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece")), big
+
+
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``id_a, id_b`` (id_a < id_b): all pairs of different records, of linked classes or of the same class."""
-    left = members.withColumnsRenamed({"id": "ia", "classe": "a"})
-    right = members.withColumnsRenamed({"id": "ib", "classe": "b"})
-    across = links.select("a", "b").join(left, "a").join(right, "b").where(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    several = members.groupBy("classe").count().where(F.col("count") > 1).select("classe")
-    repeated = members.join(several, "classe")
-    within = repeated.withColumnRenamed("id", "id_a").join(repeated.withColumnRenamed("id", "id_b"), "classe").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
-    return across.unionByName(within)
+    """``id_a, id_b`` (id_a < id_b): all pairs of different records, of linked classes or of the same class.
+
+    Every pair is a wanted row; classes of many copies are cut into pieces, so that no join key holds
+    more than about ``PIECE`` rows of a side.
+    """
+    placed, big = _pieces(members)
+    left = placed.select(F.col("id").alias("ia"), F.col("classe").alias("a"), F.col("piece").alias("pa"))
+    right = placed.select(F.col("id").alias("ib"), F.col("classe").alias("b"), F.col("piece").alias("pb"))
+    met = links.select("a", "b").withColumns({"pa": F.lit(0), "pb": F.lit(0)})
+    several = members.groupBy("classe").count().where(F.col("count") > 1).select(F.col("classe").alias("a"))
+    own = several.select("a", F.lit(0).alias("pa"), F.lit(0).alias("pb"))
+    if big is not None:
+        numbers = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
+        for side, piece in (("a", "pa"), ("b", "pb")):
+            met = met.drop(piece).join(big.withColumnRenamed("classe", side), side, "left").withColumn(piece, numbers("pieces")).drop("pieces")
+        own = several.join(big.withColumnRenamed("classe", "a"), "a", "left").withColumn("pa", numbers("pieces")).withColumn("pb", numbers("pieces")).drop("pieces").where(F.col("pa") <= F.col("pb"))
+    across = met.join(left, ["a", "pa"]).join(right, ["b", "pb"]).where(F.col("ia") != F.col("ib")).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    # Two pieces meet once, a piece with itself in one order of ids.
+    within = own.join(left, ["a", "pa"]).join(right.withColumnRenamed("b", "a"), ["a", "pb"]).where(F.when(F.col("pa") == F.col("pb"), F.col("ia") < F.col("ib")).otherwise(True))
+    return across.unionByName(within.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")))

@@ -147,3 +147,70 @@ def test_no_cross_join(spark):
     plan = expand_pairs(members, links)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def plain_mcl(n, edges, inflation=2.0, prune=1e-4):
+    """MCL as published, node by node."""
+    m = np.eye(n)
+    for a, b, w in edges:
+        m[a, b] = m[b, a] = w
+    m /= m.sum(0)
+    for _ in range(200):
+        last = m
+        m = (m @ m) ** inflation
+        m /= m.sum(0)
+        m[m < prune] = 0
+        m /= m.sum(0)
+        if np.abs(m - last).max() < 1e-9:
+            break
+    return {j: int(np.nonzero(m[:, int(np.nonzero(m[:, j])[0][m[np.nonzero(m[:, j])[0], j].argmax()])])[0][0]) for j in range(n)}
+
+
+def test_clusters_are_those_of_the_published_algorithm(spark):
+    """Planted communities, joined weakly: clusters, sizes and typical members, dense and distributed."""
+    rnd = random.Random(11)
+    n, edges = 60, {}
+    for a, b in combinations(range(n), 2):
+        if a // 12 == b // 12 and rnd.random() < 0.7:
+            edges[a, b] = rnd.uniform(0.6, 1.0)
+        elif rnd.random() < 0.01:
+            edges[a, b] = rnd.uniform(0.55, 0.6)
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    links = spark.createDataFrame([(a, b, round(w * 1000), 1000) for a, b, w in rows], "a long, b long, communs int, total int")
+    want = plain_mcl(n, [(a, b, round(w * 1000) / 1000) for a, b, w in rows])
+    members = spark.range(n).select("id", F.col("id").alias("classe"))
+    for dense in (512, 8):
+        got = grappes.clustered(members, links, dense=dense).cache()
+        same = lambda g: {frozenset(i for i in g if g[i] == v) for v in g.values()}
+        assert same({r.id: r.groupe for r in got.collect()}) == same(want) and len(same(want)) >= 5
+        told = {r.groupe_id: r for r in grappes.described(got, typical=2, least=4).collect()}
+        assert {k: r.taille for k, r in told.items()} == {min(c): len(c) for c in same(want) if len(c) >= 4} and all(r.stable for r in told.values())
+        assert {(r.id, r.groupe_id) for r in grappes.linked_groups(got, 4).collect()} == components([(i,) for i in range(n)], [(a, b) for a, b, _ in rows], 4)
+
+
+def test_blocks_rest_on_clusters_and_links():
+    """Nodes of one cluster are one block though no link joins them; without the clusters they would be two."""
+    group = np.array([[0, 0, 2, 3]])
+    linked = np.zeros((1, 4, 4), bool)
+    linked[0, 2, 3] = linked[0, 3, 2] = True
+    assert grappes.contracted(group, linked).tolist() == [[0, 0, 2, 2]]
+    assert grappes.contracted(np.arange(4)[None], linked).tolist() == [[0, 1, 2, 2]]
+
+
+def test_unsettled_walks_are_reported(monkeypatch):
+    monkeypatch.setattr(grappes, "STEPS", 1)
+    m = np.full((1, 8, 8), 0.1) + np.eye(8) * 0.2
+    m[0, 0, 1:3] = 0.9
+    assert not grappes._walk(m / m.sum(1, keepdims=True), 2.0, 1e-4)[1].any()
+
+
+def test_large_classes_are_joined_in_pieces(spark, monkeypatch):
+    """Copies beyond the piece size give the same pairs, and no key of the joins holds more rows than twice a piece."""
+    members = spark.range(100).select("id", F.when(F.col("id") < 40, 1).when(F.col("id") < 70, 2).when(F.col("id") < 72, 3).otherwise(F.col("id") + 100).cast("long").alias("classe"))
+    links = spark.createDataFrame([(1, 2, 1, 1), (2, 3, 1, 1), (3, 180, 1, 1)], "a long, b long, communs int, total int")
+    want = [tuple(r) for r in expand_pairs(members, links).collect()]
+    assert len(want) == len(set(want)) == 40 * 30 + 30 * 2 + 2 + 40 * 39 // 2 + 30 * 29 // 2 + 1
+    monkeypatch.setattr(similarite, "PIECE", 8)
+    assert sorted(tuple(r) for r in expand_pairs(members, links).collect()) == sorted(want)
+    placed, big = similarite._pieces(members)
+    assert {r.classe: r.pieces for r in big.collect()} == {1: 5, 2: 4} and max(r["count"] for r in placed.groupBy("classe", "piece").count().collect()) <= 16
