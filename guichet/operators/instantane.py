@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+import re
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,21 +52,65 @@ def activate(imports: DataFrame, chosen: int) -> DataFrame:
     return imports.withColumn("is_active", F.col("id") == F.lit(chosen))
 
 
+def active_snapshot(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The tickets of the active import, each once. The import is a filter of the scan (a partition of ``sorties.write_snapshot``)."""
+    chosen = load(spark, d, "tickets").where(F.col("import_id") == F.lit(active_import(load(spark, d, "imports"))))
+    return newest(chosen, [c for c in columns if c != "id"])
+
+
+def replaced(tickets: DataFrame, imports: DataFrame, new: DataFrame, name: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """(tickets, imports) after ``new`` came in as a snapshot of its own, the only active one; nothing old is changed."""
+    number = (imports.agg(F.max("id")).first()[0] or 0) + 1
+    entry = imports.sparkSession.range(1).select(F.lit(number).cast("long").alias("id"), F.lit(name).alias("filename"), F.lit(day).cast("timestamp_ntz").alias("import_date"), F.lit(True).alias("is_active"))
+    return tickets.unionByName(new.withColumn("import_id", F.lit(number).cast("long")), allowMissingColumns=True), activate(imports, number).unionByName(entry)
+
+
+def deleted(tickets: DataFrame, imports: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(tickets, imports) without an import and all its tickets."""
+    return tickets.where(F.col("import_id") != F.lit(number)), imports.where(F.col("id") != F.lit(number))
+
+
+def known_file(imports: DataFrame, name: str) -> DataFrame:
+    """Imports that already read a file of this name: a warning, not an error."""
+    return imports.where(F.col("filename") == F.lit(name)).select("id", "filename", "import_date")
+
+
+def metadata(tickets: DataFrame) -> DataFrame:
+    """What the registry keeps of a stock: counts of all, live and closed tickets, first and last opening."""
+    return tickets.agg(F.count(F.lit(1)).alias("lignes"), F.count_if("est_vivant").alias("vivants"), F.count_if(~F.col("est_vivant")).alias("termines"), F.min("date_ouverture").alias("premiere"), F.max("date_ouverture").alias("derniere"))
+
+
 def filled(c: Column) -> Column:
     """Not null and not empty."""
     return c.isNotNull() & (c != "")
 
 
 def between_days(c: Column, begin: date | str | None, end: date | str | None) -> Column:
-    """Half-open day range: from the first instant of ``begin`` to the last of ``end``; each bound optional."""
+    """Half-open day range: from the first instant of ``begin`` to the last of ``end``; each bound optional.
+
+    Bounds are dates, or texts of a day with or without a time part, the year or the day first.
+    """
     out = F.lit(True)
     if begin is not None:
-        out = out & (c >= F.to_date(F.lit(str(begin)[:10])))
+        out = out & (c >= F.lit(day_bound(begin)))
     if end is not None:
-        out = out & (c < F.date_add(F.to_date(F.lit(str(end)[:10])), 1))
+        out = out & (c < F.date_add(F.lit(day_bound(end)), 1))
     return out
 
 
+def day_bound(value: date | str) -> date:
+    """The day of a request's bound; an unreadable one is an error."""
+    if isinstance(value, date):
+        return value.date() if isinstance(value, datetime) else value
+    day = re.split(r"[ T]", value.strip())[0]
+    for form in ("%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y"):
+        try:
+            return datetime.strptime(day, form).date()
+        except ValueError:
+            continue
+    raise ValueError(f"not a day: {value}")
+
+
 def filtered(df: DataFrame, statut: str | None = None, type_ticket: str | None = None, groupe: str | None = None, age_min: int | None = None, age_max: int | None = None, vivants: bool | None = None) -> DataFrame:
     """AND of the filters given; age bounds included; ``groupe`` is the first group level."""
     for column, value in (("statut", statut), ("type_ticket", type_ticket), ("groupe_niveau1", groupe), ("est_vivant", vivants)):

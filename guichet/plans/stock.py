@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from guichet.operators.doublons import ranked
 from guichet.operators.hierarchie import rolled_up
-from guichet.operators.instantane import filled, filtered, import_history, import_profile, merge, snapshot
+from guichet.operators.instantane import filled, filtered, snapshot
+from guichet.operators.ordre import running, with_percentiles
 from guichet.plans.registre import Registre
-from guichet.session import load
+from guichet.session import cut, load
 
 query = Registre()
 
@@ -30,7 +31,8 @@ def stock_by_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(avg(anciennete_jours), 1) AS age_moyen, quantile_cont(anciennete_jours, 0.5) AS age_median, count(*) AS n FROM t WHERE est_vivant")
 def stock_age_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _live(spark, d, "anciennete_jours").agg(F.round(F.avg("anciennete_jours"), 1).alias("age_moyen"), F.percentile("anciennete_jours", 0.5).alias("age_median"), F.count(F.lit(1)).alias("n"))
+    live = cut(_live(spark, d, "anciennete_jours").select("anciennete_jours"), "ages")
+    return with_percentiles(live.agg(F.round(F.avg("anciennete_jours"), 1).alias("age_moyen"), F.count(F.lit(1)).alias("n")), live, [], "anciennete_jours", {"age_median": 0.5})
 
 
 @query("""SELECT tranche, count(*) AS n, round(count(*) * 100.0 / greatest(sum(count(*)) OVER (), 1), 6) AS part FROM
@@ -55,24 +57,29 @@ def stock_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BY_TECH = """SELECT technicien_principal, count(*) AS total, count(*) FILTER (type_ticket = 'Incident') AS incidents, count(*) FILTER (type_ticket = 'Demande') AS demandes,
- round(coalesce(avg(anciennete_jours), 0), 1) AS age_moyen, count(*) FILTER (inactivite_jours >= 14) AS inactifs_14 FROM t WHERE est_vivant AND technicien_principal <> ''"""
+ round(coalesce(avg(anciennete_jours), 0), 1) AS age_moyen, count(*) FILTER (inactivite_jours >= 14) AS inactifs_14,
+ count(*) FILTER (statut = 'Nouveau') AS nouveaux, count(*) FILTER (statut = 'En cours (Attribué)') AS attribues, count(*) FILTER (statut = 'En cours (Planifié)') AS planifies, count(*) FILTER (statut = 'En attente') AS en_attente
+ FROM t WHERE est_vivant AND technicien_principal <> ''"""
+# Live statuses and the columns that count them.
+_STATUSES = {"Nouveau": "nouveaux", "En cours (Attribué)": "attribues", "En cours (Planifié)": "planifies", "En attente": "en_attente"}
 
 
 def _by_technician(live: DataFrame) -> DataFrame:
     return live.where(filled(F.col("technicien_principal"))).groupBy("technicien_principal").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("type_ticket") == "Incident").alias("incidents"), F.count_if(F.col("type_ticket") == "Demande").alias("demandes"),
         F.round(F.coalesce(F.avg("anciennete_jours"), F.lit(0.0)), 1).alias("age_moyen"), F.count_if(F.col("inactivite_jours") >= 14).alias("inactifs_14"),
+        *[F.count_if(F.col("statut") == k).alias(n) for k, n in _STATUSES.items()],
     )
 
 
 @query(_BY_TECH + " GROUP BY 1")
 def stock_by_technician(spark: SparkSession, d: str) -> DataFrame:
-    return _by_technician(_live(spark, d, "technicien_principal", "type_ticket", "anciennete_jours", "inactivite_jours"))
+    return _by_technician(_live(spark, d, "technicien_principal", "type_ticket", "statut", "anciennete_jours", "inactivite_jours"))
 
 
 @query(_BY_TECH + " AND type_ticket = 'Incident' AND groupe_niveau1 = '_DSI' AND anciennete_jours BETWEEN 5 AND 400 GROUP BY 1")
 def stock_by_technician_filtered(spark: SparkSession, d: str) -> DataFrame:
-    live = _live(spark, d, "technicien_principal", "type_ticket", "anciennete_jours", "inactivite_jours", "groupe_niveau1")
+    live = _live(spark, d, "technicien_principal", "type_ticket", "statut", "anciennete_jours", "inactivite_jours", "groupe_niveau1")
     return _by_technician(filtered(live, type_ticket="Incident", groupe="_DSI", age_min=5, age_max=400))
 
 
@@ -129,20 +136,28 @@ def group_tree(spark: SparkSession, d: str) -> DataFrame:
     return rolled_up(snapshot(spark, d, "groupe_principal", "type_ticket"), "groupe_principal")
 
 
-@query("""SELECT import_id, count(*) AS lignes, count(DISTINCT id) AS ids, count(*) FILTER (est_vivant) AS vivants, count(*) FILTER (NOT est_vivant) AS termines, min(date_ouverture) AS premiere, max(date_ouverture) AS derniere,
- count(DISTINCT statut) AS statuts, count(DISTINCT type_ticket) AS types, count(DISTINCT groupe_principal) AS groupes FROM tickets GROUP BY 1""", newest=False)
-def import_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return import_profile(load(spark, d, "tickets"))
+@query(_TREE.format(c="categorie").replace("FROM t WHERE", "FROM t WHERE est_vivant AND"))
+def category_tree_live(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of live tickets only: the other scope of ``category_tree``."""
+    return rolled_up(filtered(snapshot(spark, d, "categorie", "type_ticket", "est_vivant"), vivants=True), "categorie")
 
 
-@query("SELECT id, filename, import_date, is_active FROM imports ORDER BY import_date DESC, id DESC", newest=False)
-def import_list(spark: SparkSession, d: str) -> DataFrame:
-    return import_history(load(spark, d, "imports"))
+@query("SELECT id, titre, anciennete_jours, row_number() OVER (ORDER BY coalesce(anciennete_jours, 0) DESC, id) AS rang FROM t WHERE est_vivant AND (technicien_principal IS NULL OR technicien_principal = '')")
+def unassigned_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """All unassigned live tickets with their place by age; the order runs over all partitions."""
+    free = _live(spark, d, "titre", "anciennete_jours", "technicien_principal").where(~F.coalesce(filled(F.col("technicien_principal")), F.lit(False)))
+    placed = running(free.select("id", "titre", "anciennete_jours", (-F.coalesce("anciennete_jours", F.lit(0))).alias("_age")), [], ["_age", "id"], out="rang")
+    return placed.select("id", "titre", "anciennete_jours", "rang")
+
+
+@query("SELECT count(*) AS n, round(coalesce(avg(coalesce(anciennete_jours, 0)), 0) + 1e-9, 6) AS age_moyen FROM t WHERE est_vivant AND (technicien_principal IS NULL OR technicien_principal = '')")
+def unassigned_stats(spark: SparkSession, d: str) -> DataFrame:
+    free = _live(spark, d, "anciennete_jours", "technicien_principal").where(~F.coalesce(filled(F.col("technicien_principal")), F.lit(False)))
+    return free.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(F.coalesce("anciennete_jours", F.lit(0))), F.lit(0.0)) + 1e-9, 6).alias("age_moyen"))
 
 
-@query("""SELECT id, import_id, statut, priorite FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY import_id > 12 DESC, import_id DESC, derniere_modification DESC NULLS LAST,
- date_resolution DESC NULLS LAST, nombre_suivis DESC NULLS LAST, statut DESC NULLS LAST) AS rn FROM tickets) WHERE rn = 1""", newest=False)
-def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Later imports merged into earlier ones; new rows win."""
-    t = load(spark, d, "tickets").select("id", "import_id", "statut", "priorite", "derniere_modification", "date_resolution", "nombre_suivis")
-    return merge(t.where("import_id <= 12"), t.where("import_id > 12")).select("id", "import_id", "statut", "priorite")
+@query("SELECT technicien_principal, count(*) AS n FROM t WHERE est_vivant AND contains(lower(technicien_principal), 'an') AND type_ticket = 'Demande' GROUP BY 1")
+def technicians_named(spark: SparkSession, d: str) -> DataFrame:
+    """Live requests of assignees whose name holds some letters, in any case: the filters of the lists."""
+    live = filtered(_live(spark, d, "technicien_principal", "type_ticket"), type_ticket="Demande").where(F.contains(F.lower("technicien_principal"), F.lit("an")))
+    return live.groupBy("technicien_principal").agg(F.count(F.lit(1)).alias("n"))

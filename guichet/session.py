@@ -50,14 +50,35 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark reads; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``cut`` has written for this application so far; the number of them.
+
+    To be called when no result that reads them is needed any more: between jobs of a long session.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        remove(spark, p)
+    return len(paths)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later stages start from replicated files, not from one executor's memory, so a lost
     executor costs its own tasks only. Parquet keeps column pruning for the readers.
-    Column names must be unique (all callers select them).
+    Column names must be unique (all callers select them). ``release`` deletes the tables.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -164,3 +164,34 @@ def test_percentiles_of_groups(spark):
     one = ordre.with_percentiles(df.agg(F.count("x").alias("k")), df, [], "x", {"m": 0.5}).first()
     assert abs(one.m - np.quantile([x for _, x in rows if x is not None], 0.5)) < 1e-9
     assert ordre.with_percentiles(df.limit(0).agg(F.count("x").alias("k")), df.limit(0), [], "x", {"m": 0.5}).first().m is None
+
+
+def test_all_similar_titles(spark):
+    """The exact mode against every pair, copies, empty and null titles included; the window may miss some."""
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(4)
+    base = ["écran noir au démarrage", "imprimante bloquée", "réseau coupé étage 3", "", "mot de passe oublié", "accès refusé au partage"]
+    rows = [(i, None if i == 7 else "".join(c for c in rnd.choice(base) if rnd.random() > 0.05), rnd.choice(["g", "h", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, titre string, groupe string")
+    want = {(a[0], b[0]) for a, b in combinations(rows, 2) if (a[2] or "Inconnu") == (b[2] or "Inconnu") and mots.jaro_winkler(a[1] or "", b[1] or "") > 0.92}
+    got = [(r.id_a, r.id_b) for r in doublons.similar_titles(df, 0.92, exact=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.id_a, r.id_b) for r in doublons._all_similar(df, 0.92, block=7).select("id_a", "id_b").collect()} == want
+    windowed = {(r.id_a, r.id_b) for r in doublons.similar_titles(df.na.fill({"titre": "", "groupe": "Inconnu"}), 0.92, small=10, reach=5).collect()}
+    assert windowed <= want
+
+
+def test_day_bounds():
+    assert {str(instantane.day_bound(x)) for x in ("2025-01-31", "2025-01-31T23:00:00", "31/01/2025", "31-01-2025 10:00")} == {"2025-01-31"}
+    with pytest.raises(ValueError):
+        instantane.day_bound("demain")
+
+
+def test_released_tables(spark):
+    from guichet.session import cut, release
+
+    release(spark)
+    t = cut(spark.range(3))
+    assert t.count() == 3 and release(spark) == 1 and release(spark) == 0
