@@ -195,3 +195,49 @@ def test_released_tables(spark):
     release(spark)
     t = cut(spark.range(3))
     assert t.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
+def test_search_grammar(spark):
+    from guichet.operators import recherche
+
+    rows = [(1, "Serveur de mémoire", "mot de passe perdu"), (2, "memoires vives", None), (3, None, "le mot passe"), (4, "IMPRIMANTE", ""), (5, "", None)]
+    t = spark.createDataFrame(rows, "id long, a string, b string")
+    folder = recherche.build_index(t, "id", ["a", "b"])
+    ids = lambda q: {r.doc for r in recherche.search(spark, folder, q).collect()}
+    assert ids("Memoire") == {1} and ids("mémo*") == {1, 2} and ids('"mot de passe"') == {1} and ids("mot passe") == {1, 3}
+    assert ids("mot NOT perdu") == {3} and ids("imprimante OR memoires") == {2, 4} and ids("imprimante AND perdu") == set() and ids("absent") == set()
+    for wrong in ("", "NOT a", "a OR", "a NOT", "?"):
+        with pytest.raises(ValueError):
+            recherche.parse(wrong)
+    shown = t.where("id = 1").select(recherche.highlighted(F.col("a"), "memoire"), recherche.snippet(F.concat(F.repeat(F.lit("x "), 100), F.col("b"), F.repeat(F.lit(" y"), 100)), "passe")).first()
+    assert shown[0] == "Serveur de <mark>mémoire</mark>" and shown[1].startswith("...x") and "<mark>passe</mark>" in shown[1] and shown[1].endswith("...")
+    empty = recherche.build_index(t.limit(0), "id", ["a", "b"])
+    assert recherche.search(spark, empty, "mot").count() == 0
+    assert recherche.fold("Éçœ") == "ecœ"
+
+
+def test_text_clusters(spark):
+    """Three vocabularies give three clusters; silhouettes equal those over all pairs; labels hold surface forms."""
+    import numpy as np
+
+    from guichet.operators import textes
+
+    rows = [(10 * g + i, g, w) for g, vocabulary in enumerate(("imprimante toner papier bourrage", "routeur fibre débit coupure", "badge porte lecteur accès")) for i in range(8) for w in vocabulary.split()[i % 2 : 3 + i % 2]]
+    counted = spark.createDataFrame([(i, w, 1) for i, _, w in rows], "doc long, terme string, n long")
+    by, forms = textes.stemmed(counted)
+    found, terms = textes.text_clusters(by, 24, high=5)
+    got = {r.doc: (r.cluster, r.silhouette) for r in found.collect()}
+    assert len({frozenset(d for d in got if got[d][0] == c) for c in {c for c, _ in got.values()}} & {frozenset(range(10 * g, 10 * g + 8)) for g in range(3)}) == 3
+    weights = corpus.tfidf(by, 24).collect()
+    names = sorted({r.terme for r in weights})
+    x = {d: np.zeros(len(names)) for d in got}
+    for r in weights:
+        x[r.doc][names.index(r.terme)] = r.poids
+    for d, (c, s) in got.items():
+        mean = {k: np.mean([((x[d] - x[e]) ** 2).sum() for e in got if got[e][0] == k and e != d]) for k in {v[0] for v in got.values()}}
+        a, b = mean[c], min(v for k, v in mean.items() if k != c)
+        assert abs(s - (b - a) / max(a, b)) < 1e-9
+    told = textes.described_clusters(found, terms, forms).collect()
+    assert sum(r.taille for r in told) == 24 and all(r.coherence == "forte" and len(r.mots.split()) >= 4 for r in told) and any("imprimante" in r.mots for r in told)
+    none, _ = textes.text_clusters(by.limit(0), 0)
+    assert none.count() == 0
