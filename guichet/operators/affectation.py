@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guichet.functions.mots import FRENCH, PHRASES, SERVICE_DESK, bigrams, stems, tokens
@@ -12,6 +12,7 @@ from guichet.session import cut
 
 THRESHOLD, TOP, LEAST, CATEGORY_WEIGHT = 20, 3, 0.01, 0.7
 HALF_LIFE = 0.693 / 30
+MONTHS = 3  # how far back profiles look
 
 
 def _waiting(t: DataFrame) -> DataFrame:
@@ -63,25 +64,64 @@ def words(t: DataFrame, *texts: str) -> DataFrame:
     return counts(s, "id", F.concat("_s", bigrams(F.col("_s"))))
 
 
-def by_profile(t: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD, weight: float = CATEGORY_WEIGHT) -> DataFrame:
+def recent(t: DataFrame, as_of: str | None = None, months: int = MONTHS) -> DataFrame:
+    """Solved tickets of named assignees with ``technicien`` and the recency weight ``poids`` (0.5 without a date).
+
+    With ``as_of`` only those of the last ``months`` before it, and their age counts from it; without, all,
+    and age counts from the last one. The date is the resolution's, else the closing's, else the last change's.
+    """
+    when = F.coalesce(*[F.col(c) for c in ("date_resolution", "date_cloture_approx", "derniere_modification") if c in t.columns])
+    solved = t.where(~F.col("est_vivant") & filled(F.col("technicien_principal"))).withColumn("_quand", when)
+    if as_of is None:
+        last = F.lit(solved.agg(F.max("_quand")).first()[0])
+    else:
+        last = F.to_date(F.lit(as_of))
+        solved = solved.where(F.col("_quand") >= F.add_months(last, -months))
+    age = F.greatest(F.datediff(last, "_quand"), F.lit(0))
+    return solved.withColumns({"technicien": F.col("technicien_principal"), "poids": F.coalesce(F.exp(-F.lit(HALF_LIFE) * age), F.lit(0.5))}).drop("_quand")
+
+
+def category_of(t: DataFrame) -> Column:
+    """The most specific level a ticket has."""
+    return F.coalesce(*[F.col(c) for c in ("categorie_niveau2", "categorie_niveau1") if c in t.columns])
+
+
+def category_shares(solved: DataFrame) -> DataFrame:
+    """``technicien, categorie, part``: shares of an assignee's recency weights; without a category SANS_CATEGORIE."""
+    by = solved.groupBy("technicien", F.coalesce(category_of(solved), F.lit("SANS_CATEGORIE")).alias("categorie")).agg(F.sum("poids").alias("_w"))
+    return by.withColumn("part", F.col("_w") / F.sum("_w").over(Window.partitionBy("technicien"))).drop("_w")  # one row per category
+
+
+def _cosines(asked: DataFrame, centre: DataFrame, waiting: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``id, technicien, cosinus`` of tickets and assignees that share a word: within the ticket's group where that has
+    assignees (met on word and group, so other groups cost nothing), among all where it has none."""
+    members = profiles.select("technicien", F.explode("groupes").alias("groupe_principal"))
+    manned = members.select("groupe_principal").distinct()
+    grouped = asked.join(waiting.select(F.col("id").alias("doc"), "groupe_principal"), "doc").join(manned.withColumn("_gens", F.lit(True)), "groupe_principal", "left")
+    own = grouped.where("_gens").join(centre.join(members, "technicien"), ["terme", "groupe_principal"])
+    free = grouped.where(F.col("_gens").isNull()).join(centre, "terme")
+    both = own.select("doc", "technicien", "w", "v").unionByName(free.select("doc", "technicien", "w", "v"))
+    return both.groupBy(F.col("doc").alias("id"), "technicien").agg(F.sum(F.col("w") * F.col("v")).alias("cosinus"))
+
+
+def by_profile(t: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD, weight: float = CATEGORY_WEIGHT, as_of: str | None = None, months: int = MONTHS) -> DataFrame:
     """Competence = 0.7 category share + 0.3 cosine where the category is known, else the cosine; candidates meet through words or category.
 
-    Profiles are of title, follow-ups and solution, waiting tickets of title and follow-ups. A ticket without
-    a suggestion stays, with null ``technicien, score, rang``.
+    Profiles are of title, follow-ups and solution, waiting tickets of title and follow-ups. With ``as_of`` the
+    profiles and category shares are those of the last ``months``; without, of all tickets with the shares of
+    ``profiles``. A ticket without a suggestion stays, with null ``technicien, score, rang``.
     """
-    solved = t.where(~F.col("est_vivant") & filled(F.col("technicien_principal")))
-    last = solved.agg(F.max("date_resolution")).first()[0]
-    age = F.greatest(F.datediff(F.lit(last), "date_resolution"), F.lit(0))
-    owners = solved.select(F.col("id").alias("doc"), F.col("technicien_principal").alias("technicien"), F.coalesce(F.exp(-F.lit(HALF_LIFE) * age), F.lit(0.5)).alias("poids"))
+    solved = recent(t, as_of, months)
+    owners = solved.select(F.col("id").alias("doc"), "technicien", "poids")
     centre, idf = centroids(cut(words(solved, "titre", "suivis_description", "solution"), "mots"), owners, solved.count())
-    waiting = _waiting(t)
+    waiting = _waiting(t).withColumn("categorie", category_of(t) if as_of else F.col("categorie_niveau1"))
     asked = unit(words(waiting, "titre", "suivis_description").join(idf, "terme").select("doc", "terme", ((1 + F.ln("n")) * F.col("idf")).alias("w")), "doc")
-    cosine = asked.join(centre.withColumnRenamed("w", "v"), "terme").groupBy(F.col("doc").alias("id"), "technicien").agg(F.sum(F.col("w") * F.col("v")).alias("cosinus"))
-    shares = profiles.select("technicien", F.explode("cat_distribution").alias("categorie_niveau1", "part"))
-    base = waiting.select("id", "groupe_principal", "categorie_niveau1")
-    by_share = base.join(shares, "categorie_niveau1").select("id", "technicien", "part")
+    cosine = _cosines(asked, cut(centre.withColumnRenamed("w", "v"), "profils"), waiting, profiles)
+    shares = category_shares(solved) if as_of else profiles.select("technicien", F.explode("cat_distribution").alias("categorie", "part"))
+    base = waiting.select("id", "groupe_principal", "categorie")
+    by_share = base.join(shares, "categorie").select("id", "technicien", "part")
     both = by_share.join(cosine, ["id", "technicien"], "full").join(base, "id")
-    known = filled(F.col("categorie_niveau1"))
+    known = filled(F.col("categorie"))
     part, cos = F.coalesce("part", F.lit(0.0)), F.coalesce("cosinus", F.lit(0.0))
     pairs = both.select("id", "groupe_principal", "technicien", F.when(F.coalesce(known, F.lit(False)), weight * part + (1 - weight) * cos).otherwise(cos).alias("competence"))
     return waiting.select("id").join(_best(pairs, profiles, t, threshold), "id", "left")

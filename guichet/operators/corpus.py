@@ -53,14 +53,15 @@ def cooccurrences(tf: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
 def mind_map(tf: DataFrame, word: str, branches: int = 12, leaves: int = 5, depth: int = 3, least: int = 2) -> DataFrame:
     """``chaine, parent, terme, profondeur, n``: terms that share documents with the chain of words before them.
 
-    One bounded join per level: a level has at most branches * leaves^(depth-1) chains.
+    One join per level with the postings of the chains' documents, written so that no level repeats the one
+    before; a level has at most branches * leaves^(depth-1) chains.
     """
     tf = tf.select("doc", "terme")
     chains = tf.where(F.col("terme") == word).select("doc", F.lit(word).alias("chaine"), F.array(F.lit(word)).alias("_mots"))
     out = None
     for level in range(1, depth + 1):
         width = branches if level == 1 else max(3, leaves - (level - 2))
-        grown = chains.join(tf, "doc").where(~F.array_contains("_mots", F.col("terme")))
+        grown = cut(chains, "chaines").join(tf, "doc").where(~F.array_contains("_mots", F.col("terme")))
         by = grown.groupBy("chaine", "terme").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         rank = F.row_number().over(Window.partitionBy("chaine").orderBy(F.desc("n"), "terme"))
         kept = cut(by.withColumn("_r", rank).where(F.col("_r") <= width).select("chaine", "terme", "n"), "carte")
@@ -88,8 +89,3 @@ def bm25(tf: DataFrame, lengths: DataFrame, query: list[str], prefixes: list[str
     part = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("longueur") / F.lit(float(size["m"] or 1.0))))
     by = scored.groupBy("doc").agg(F.round(F.sum(part) + 1e-9, 6).alias("score"), F.count(F.lit(1)).alias("_q"))
     return (by.where(F.col("_q") == len(asked)) if every else by).select("doc", "score")
-
-
-def highlighted(text: Column, words: list[str]) -> Column:
-    """The text with the words marked."""
-    return F.regexp_replace(text, r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(words) + r")(?![\p{L}\p{N}])", "<mark>$1</mark>")

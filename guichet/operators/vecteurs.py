@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+#: Numbers of all centroids together that a task may hold (800 MB); more is an error, not a cut.
+CENTRES_MOST = 100_000_000
 
 
 def nearest_centroid(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``key, proche``: the label whose mean vector is nearest; ties go to the smallest label.
 
-    Distances are sums over coordinates (an equi-join on the coordinate with the few centroids).
+    The means are sums over coordinates; packed (labels x width, a bound that is checked) they go to every
+    task, which compares whole batches of vectors by one matrix product. Null vectors and labels take no part in
+    the means; null vectors have a null answer.
     """
-    flat = df.select(key, label, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    centre = flat.groupBy(label, "i").agg(F.avg("v").alias("m"))
-    packed = centre.groupBy("i").agg(F.collect_list(F.struct(F.col(label).alias("l"), "m")).alias("c"))  # labels are few
-    far = flat.join(packed, "i").select(key, "v", F.explode("c").alias("c")).groupBy(key, F.col("c.l").alias("l")).agg(F.sum((F.col("v") - F.col("c.m")) * (F.col("v") - F.col("c.m"))).alias("q"))
-    return far.groupBy(key).agg(F.min_by("l", F.struct(F.round("q", 9), "l")).alias("proche"))
+    flat = df.where(F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("i", "v"))
+    packed = flat.groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    size = packed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("c")).alias("w")).first()
+    if size["n"] * (size["w"] or 0) > CENTRES_MOST:
+        raise ValueError("too many labels for their centroids to be sent to every task")
+    rows = sorted((r[label], [x["m"] for x in r["c"]]) for r in packed.collect())  # bounded above
+    names, centres = [n for n, _ in rows], np.array([c for _, c in rows], float)
+    sent = df.sparkSession.sparkContext.broadcast((names, centres, (centres**2).sum(1) if rows else centres))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = StructType([df.schema[key], StructField("proche", df.schema[label].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centres, squares = sent.value
+        for batch in batches:
+            vectors = batch.column(1)
+            good = vectors.is_valid().to_numpy(zero_copy_only=False)
+            answer: list = [None] * batch.num_rows
+            if good.any() and names:
+                x = np.array(vectors.filter(vectors.is_valid()).flatten(), float).reshape(good.sum(), -1)
+                far = (x**2).sum(1)[:, None] - 2 * x @ centres.T + squares
+                for k, best in zip(np.nonzero(good)[0], np.round(far, 9).argmin(1)):
+                    answer[k] = names[best]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answer, arrow_of(kinds[label]))], [key, "proche"])
+
+    return df.select(key, vector).mapInArrow(run, out)
+
+
+def arrow_of(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
 
 
 def knee(values: list[float]) -> int | None:
@@ -40,7 +75,7 @@ def kmeans(df: DataFrame, vector: str = "embedding", low: int = 2, high: int = 1
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(array_to_vector(F.col(vector)).alias("features")).persist()
+    data = df.select(array_to_vector(F.col(vector)).alias("features"))
     n = data.count()
     ks = list(range(low, min(high, n) + 1))
     if not ks:

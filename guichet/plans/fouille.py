@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from guichet.functions import mots
 from guichet.operators import affectation, corpus, doublons, prevision, vecteurs
-from guichet.operators.instantane import filled, snapshot
+from guichet.operators.instantane import active_import, filled, snapshot
+from guichet.operators.ordre import with_percentiles
 from guichet.plans.flux import _DAYS_SQL, days
 from guichet.plans.registre import Registre
 from guichet.session import cut, load
@@ -65,6 +66,7 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
 @query(_TITLES + """, g AS (SELECT groupe_principal AS groupe, terme, round(sum(poids), 6) AS score, count(*) AS df FROM p JOIN t ON t.id = p.doc WHERE groupe_principal <> '' GROUP BY 1, 2)
  SELECT groupe, terme, score, df, rang FROM (SELECT *, row_number() OVER (PARTITION BY groupe ORDER BY score DESC, terme) AS rang FROM g) WHERE rang <= 20""")
 def top_keywords_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of the titles of each named group."""
     groups = snapshot(spark, d, "groupe_principal").where(filled(F.col("groupe_principal"))).select(F.col("id").alias("doc"), F.col("groupe_principal").alias("groupe"))
     return corpus.group_keywords(_weights(spark, d), groups, 20)
 
@@ -175,18 +177,30 @@ def stemmed_keywords(spark: SparkSession, d: str) -> DataFrame:
     return by.orderBy(F.desc("n"), "racine").limit(100)
 
 
-# French accented letters and their base letters; DuckDB's similarity compares bytes, so titles go without accents.
-_ACCENTS, _BASES = "àâäçéèêëîïôöùûüÿ", "aaaceeeeiioouuuy"
-_JW = f"""WITH g AS (SELECT id, translate(lower(coalesce(titre, '')), '{_ACCENTS}', '{_BASES}') AS titre, coalesce(groupe_principal, 'Inconnu') AS groupe FROM t),
- r AS (SELECT *, row_number() OVER (PARTITION BY groupe ORDER BY titre, id) AS pos, count(*) OVER (PARTITION BY groupe) AS taille FROM g)
- SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM r a JOIN r b ON a.groupe = b.groupe AND a.pos < b.pos AND (a.taille <= 500 OR b.pos < a.pos + 30) WHERE jaro_winkler_similarity(a.titre, b.titre) > 0.92"""
+# DuckDB's similarity compares bytes: accented letters are written there as single bytes of their own, one for each letter.
+_ACCENTS = "àâäáçéèêëîïíñôöóûùüúÿœæ"
+_BYTES = " || ".join(f"chr({n})" for n in (*range(1, 9), *range(14, 32))[: len(_ACCENTS)])
+_JW = f"""WITH g AS (SELECT id, lower(coalesce(titre, '')) AS titre, translate(lower(coalesce(titre, '')), '{_ACCENTS}', {_BYTES}) AS octets, coalesce(groupe_principal, 'Inconnu') AS groupe FROM t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY groupe ORDER BY titre, id) AS pos, count(*) OVER (PARTITION BY groupe) AS taille FROM g),
+ s AS (SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, jaro_winkler_similarity(a.octets, b.octets) AS s FROM r a JOIN r b ON a.groupe = b.groupe AND a.pos < b.pos AND (a.taille <= 500 OR b.pos < a.pos + 30))
+ SELECT id_a, id_b, round(s + 1e-9, 6) AS similarite FROM s WHERE s > 0.92"""
+
+
+def _lower_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = snapshot(spark, d, "titre", "groupe_principal")
+    return t.select("id", F.lower(F.coalesce("titre", F.lit(""))).alias("titre"), F.coalesce("groupe_principal", F.lit("Inconnu")).alias("groupe"))
 
 
 @query(_JW)
 def duplicates_jw(spark: SparkSession, d: str) -> DataFrame:
     """Titles of one group that are nearly equal: all pairs of small groups, a sliding window of sorted titles in large ones."""
-    t = snapshot(spark, d, "titre", "groupe_principal").select("id", F.translate(F.lower(F.coalesce("titre", F.lit(""))), _ACCENTS, _BASES).alias("titre"), F.coalesce("groupe_principal", F.lit("Inconnu")).alias("groupe"))
-    return doublons.similar_titles(t, 0.92).select("id_a", "id_b")
+    return doublons.similar_titles(_lower_titles(spark, d), 0.92).select("id_a", "id_b", F.round(F.col("similarite") + 1e-9, 6).alias("similarite"))
+
+
+@query(_JW + " ORDER BY similarite DESC, id_a, id_b LIMIT 200")
+def duplicates_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 most similar pairs of the report."""
+    return duplicates_jw(spark, d).orderBy(F.desc("similarite"), "id_a", "id_b").limit(200)
 
 
 _D = _DAYS_SQL.format(e="date_resolution", b="date_ouverture")
@@ -237,11 +251,30 @@ def assignment_by_category(spark: SparkSession, d: str) -> DataFrame:
     return affectation.by_category(t, load(spark, d, "profils"))
 
 
+_PROFILED = ("est_vivant", "technicien_principal", "groupe_principal", "categorie_niveau1", "categorie_niveau2", "date_resolution", "date_cloture_approx", "derniere_modification")
+
+
+def _as_of(spark: SparkSession, d: str) -> str:
+    """The day of the active import: nothing depends on the clock."""
+    imports = load(spark, d, "imports")
+    return str(imports.where(F.col("id") == active_import(imports)).select(F.to_date("import_date")).first()[0])
+
+
+@query("""WITH a AS (SELECT CAST(import_date AS DATE) AS jour FROM imports WHERE id = (SELECT max(id) FROM imports WHERE is_active)),
+ s AS (SELECT technicien_principal AS technicien, coalesce(categorie_niveau2, categorie_niveau1, 'SANS_CATEGORIE') AS categorie, coalesce(exp(-0.693 / 30 * greatest(date_diff('day', CAST(coalesce(date_resolution, date_cloture_approx, derniere_modification) AS DATE), jour), 0)), 0.5) AS w
+ FROM t, a WHERE NOT est_vivant AND technicien_principal <> '' AND coalesce(date_resolution, date_cloture_approx, derniere_modification) >= jour - INTERVAL 3 MONTH)
+ SELECT technicien, categorie, round(sum(w) / sum(sum(w)) OVER (PARTITION BY technicien) + 1e-9, 6) AS part FROM s GROUP BY 1, 2""")
+def profile_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Each assignee's shares of categories among tickets solved in the last three months, recent ones counting more."""
+    solved = affectation.recent(snapshot(spark, d, *_PROFILED), _as_of(spark, d))
+    return affectation.category_shares(solved).select("technicien", "categorie", F.round(F.col("part") + 1e-9, 6).alias("part"))
+
+
 @query()
 def assignment_by_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The same with 0.3 of the score from the closeness of the ticket's stems and neighbours to the assignee's solved tickets; tickets without a suggestion have nulls."""
-    t = snapshot(spark, d, "est_vivant", "technicien_principal", "groupe_principal", "categorie_niveau1", "titre", "suivis_description", "solution", "date_resolution")
-    return affectation.by_profile(cut(t, "tickets"), load(spark, d, "profils"))
+    """The same with 0.3 of the score from the closeness of the ticket's stems and neighbours to the assignee's tickets solved in the last three months; tickets without a suggestion have nulls."""
+    t = snapshot(spark, d, *_PROFILED, "titre", "suivis_description", "solution")
+    return affectation.by_profile(cut(t, "tickets"), load(spark, d, "profils"), as_of=_as_of(spark, d))
 
 
 @query("""WITH d AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i, vec_id FROM embeddings), c AS (SELECT label, i, avg(v::DOUBLE) AS m FROM d GROUP BY 1, 2),
@@ -292,16 +325,20 @@ _SUBSET = "(SELECT * FROM t WHERE id IN (SELECT id FROM t WHERE categorie_niveau
 
 
 @query(f"""SELECT count(*) AS tickets, count(*) FILTER (est_vivant) AS vivants, round(avg(anciennete_jours) FILTER (NOT est_vivant) + 1e-9, 6) AS age_moyen_clos, quantile_cont(anciennete_jours, 0.5) FILTER (NOT est_vivant) AS age_median_clos,
- count(*) FILTER (type_ticket = 'Incident') AS incidents, count(*) FILTER (type_ticket = 'Demande') AS demandes, count(*) FILTER (est_vivant AND anciennete_jours > 90) AS vivants_90, count(*) FILTER (est_vivant AND inactivite_jours > 14) AS inactifs_14 FROM {_SUBSET}""")
+ count(*) FILTER (type_ticket = 'Incident') AS incidents, count(*) FILTER (type_ticket = 'Demande') AS demandes,
+ round(count(*) FILTER (type_ticket = 'Incident')::DOUBLE / greatest(count(*) FILTER (type_ticket = 'Demande'), 1) + 1e-9, 6) AS ratio, count(*) FILTER (est_vivant AND anciennete_jours > 90) AS vivants_90, count(*) FILTER (est_vivant AND inactivite_jours > 14) AS inactifs_14 FROM {_SUBSET}""")
 def cluster_detail(spark: SparkSession, d: str) -> DataFrame:
     """Profile of a set of tickets given by ids (semi-join); the ages are those of closed tickets."""
     t = _subset(spark, d, "est_vivant", "anciennete_jours", "inactivite_jours", "type_ticket")
     live, closed = F.col("est_vivant"), F.when(~F.col("est_vivant"), F.col("anciennete_jours"))
-    return t.agg(
-        F.count(F.lit(1)).alias("tickets"), F.count_if(live).alias("vivants"), F.round(F.avg(closed) + 1e-9, 6).alias("age_moyen_clos"), F.percentile(closed, 0.5).alias("age_median_clos"),
-        F.count_if(F.col("type_ticket") == "Incident").alias("incidents"), F.count_if(F.col("type_ticket") == "Demande").alias("demandes"),
+    t = cut(t.select("id", "est_vivant", "anciennete_jours", "inactivite_jours", "type_ticket", closed.alias("age")), "ensemble")
+    incidents, requests = F.count_if(F.col("type_ticket") == "Incident"), F.count_if(F.col("type_ticket") == "Demande")
+    one = t.agg(
+        F.count(F.lit(1)).alias("tickets"), F.count_if(live).alias("vivants"), F.round(F.avg("age") + 1e-9, 6).alias("age_moyen_clos"),
+        incidents.alias("incidents"), requests.alias("demandes"), F.round(incidents / F.greatest(requests, F.lit(1)) + 1e-9, 6).alias("ratio"),
         F.count_if(live & (F.col("anciennete_jours") > 90)).alias("vivants_90"), F.count_if(live & (F.col("inactivite_jours") > 14)).alias("inactifs_14"),
     )
+    return with_percentiles(one, t, [], "age", {"age_median_clos": 0.5})
 
 
 def _subset(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -309,6 +346,19 @@ def _subset(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return t.join(t.where(F.col("categorie_niveau1") == "Logiciel").select("id"), "id", "left_semi")
 
 
+@query(f"SELECT groupe_principal, count(*) AS n FROM {_SUBSET} WHERE groupe_principal IS NOT NULL GROUP BY 1 ORDER BY n DESC, groupe_principal")
+def cluster_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of the same set, the largest first."""
+    return _subset(spark, d, "groupe_principal").where(F.col("groupe_principal").isNotNull()).groupBy("groupe_principal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "groupe_principal")
+
+
+@query(f"SELECT id, titre, statut, technicien_principal, anciennete_jours, coalesce(nombre_suivis, 0) AS suivis, est_vivant FROM {_SUBSET} ORDER BY anciennete_jours DESC NULLS LAST, id")
+def cluster_list(spark: SparkSession, d: str) -> DataFrame:
+    """The tickets of the same set, the oldest first."""
+    t = _subset(spark, d, "titre", "statut", "technicien_principal", "anciennete_jours", "nombre_suivis", "est_vivant")
+    return t.orderBy(F.desc_nulls_last("anciennete_jours"), "id").select("id", "titre", "statut", "technicien_principal", "anciennete_jours", F.coalesce("nombre_suivis", F.lit(0)).alias("suivis"), "est_vivant")
+
+
 @query(f"SELECT strftime(date_ouverture, '%Y-%m') AS periode, count(*) AS n FROM {_SUBSET} GROUP BY 1")
 def cluster_months(spark: SparkSession, d: str) -> DataFrame:
     """Monthly openings of the same set."""
