@@ -18,8 +18,10 @@ from guichet.functions.temps import read_times
 from guichet.session import cut
 
 INTERVALS = "array<struct<debut:bigint,fin:bigint,decalage:bigint>>"
-#: Zone names (below 600) times years: a table under this many rows is broadcast.
-BROADCAST_ROWS = 20_000
+#: Zone names (below 600) times years: a table under this many rows (some 200 bytes each) is broadcast.
+BROADCAST_ROWS = 200_000
+#: Beyond it rows meet it by zone and year in so many salted parts, so that the zone of most rows is no hot key.
+SALTS = 64
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -68,12 +70,18 @@ def resolve(parsed: DataFrame, parts: str = "lu", out: str = "instant_us", statu
     result. Rows with their own offset keep a null zone and never meet the table.
     """
     zone, year = F.col(f"{parts}.zone"), F.year(F.timestamp_micros(F.col(f"{parts}.local_us"))).cast("int")
-    keyed = cut(parsed, "temps").withColumns({"_zone": zone, "_annee": year})  # read twice below
+    # Written once: read twice below, and the reading of a text is too much code to stand in every stage.
+    keyed = cut(parsed, "temps").withColumns({"_zone": zone, "_annee": year})
     pairs = keyed.where(F.col("_zone").isNotNull()).select(F.col("_zone").alias("zone"), F.col("_annee").alias("annee")).distinct()
     table = cut(interval_table(pairs), "intervalles").withColumnsRenamed({"zone": "_z", "annee": "_a"})
+    same = (F.col("_zone") == F.col("_z")) & (F.col("_annee") == F.col("_a"))
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    joined = keyed.join(table, (F.col("_zone") == F.col("_z")) & (F.col("_annee") == F.col("_a")), "left")
+    else:
+        keyed = keyed.withColumn("_sel", F.pmod(F.xxhash64(f"{parts}.local_us"), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("_sel_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col("_sel") == F.col("_sel_t"))
+    joined = keyed.join(table, same, "left")
     local = F.col(f"{parts}.local_us")
     hits = F.filter("intervalles", lambda i: (i["debut"] <= local) & (local < i["fin"]))
     instants = F.transform(hits, lambda i: local - i["decalage"])
@@ -84,7 +92,7 @@ def resolve(parsed: DataFrame, parts: str = "lu", out: str = "instant_us", statu
             out: F.coalesce(own, F.array_min(instants)),
             status: F.when(own.isNotNull(), "exact").when(local.isNull(), "illisible").when(n == 0, "inexistant").when(n == 1, "decale").otherwise("ambigu"),
         }
-    ).drop("_zone", "_annee", "_z", "_a", "intervalles")
+    ).drop("_zone", "_annee", "_z", "_a", "intervalles", "_sel", "_sel_t")
 
 
 def normalise_times(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -21,8 +21,8 @@ RUNS = r"(?i:<br\s*/?>)|[\r\n]+|\t+|[\",;|/\[\]]|[^\t\r\n\",;|/\[\]<]+|(?s:.)"
 #: Symbols of ordinary runs: without blanks at the ends, blank before, blank behind, both.
 ORDINARY = ("X", "L", "R", "B")
 RULE = "array<struct<debut:int,longueur:int,entre:boolean>>"
-#: A rule table of at most so many rows (some 200 bytes each) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
+#: A rule table of at most so many rows (some 200 bytes each) is broadcast; beyond it the join shuffles in salted parts.
+BROADCAST_ROWS, SALTS = 50_000, 64
 
 
 def _symbol(run):
@@ -136,9 +136,14 @@ def split_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     alone = F.col("_squelette").isin(*ORDINARY)
     single, packed = keyed.where(alone), keyed.where(~alone)
     rules = cut(rule_table(packed), "regles")
+    meets = ["_squelette"]
     if rules.count() <= BROADCAST_ROWS:
         rules = F.broadcast(rules)
-    found = packed.join(rules, "_squelette").select(*keys, "champ", "_runs", F.posexplode("_regle").alias("_i", "_r"))
+    else:  # a frequent skeleton is no hot key
+        meets.append("_sel")
+        packed = packed.withColumn("_sel", F.pmod(F.xxhash64(*keys, "champ"), F.lit(SALTS)).cast("int"))
+        rules = rules.withColumn("_sel", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = packed.join(rules, meets).select(*keys, "champ", "_runs", F.posexplode("_regle").alias("_i", "_r"))
     text = F.array_join(F.slice("_runs", F.col("_r.debut"), F.col("_r.longueur")), "")
     value = F.when(F.col("_r.entre"), F.regexp_replace(text, '""', '"')).otherwise(text)
     edge = _BLANKS[:-1] + r"\s]"

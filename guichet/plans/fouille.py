@@ -16,9 +16,19 @@ from guichet.session import cut, load
 query = Registre()
 TOP_TERMS, TOP_EDGES = 80, 200
 
-# The tokenizer in DuckDB: the same pattern, byte lengths and stop words.
-_STOP = ", ".join("'" + w + "'" for w in (*mots.FRENCH, *mots.SERVICE_DESK))
-_HTML_SQL = mots.HTML[4:].replace("'", "''")
+# The tokenizer in DuckDB, written out: tags and entities, words by letters, byte lengths, the stop words as text.
+_STOP_WORDS = """
+ le la les un une des du de au aux a à dans sur pour avec sans entre vers par en chez contre sous devant derrière après avant pendant depuis dès jusqu
+ je tu il elle nous vous ils elles on ce cette ces celui celle ceux celles se me te lui leur y moi toi soi qui que quoi dont où lequel laquelle lesquels lesquelles
+ et ou mais donc car ni si comme lorsque quand puisque parce pourtant cependant or tandis est sont ai ont était été eu fait faire être avoir peut doit va vont sera seront avait avaient serait soit faut
+ ne pas plus très bien aussi encore même tout tous toute toutes autre autres trop peu beaucoup déjà alors ainsi ici là jamais toujours souvent parfois maintenant hier demain fois
+ l d n s c qu j m t ça cela ceci oui non via
+ bonjour bonsoir cordialement cdlt salutations merci svp veuillez madame monsieur cher chère objet ref référence ci-joint ci-dessous ci-dessus pj sujet info information
+ reçu enregistré noté transmis transféré pris compte ticket incident demande numéro dossier urgent priorité date problème question aide besoin solution réponse
+ système service utilisateur poste logiciel résolu clos resolu assigné
+"""
+_STOP = ", ".join(f"'{w}'" for w in _STOP_WORDS.split())
+_HTML_SQL = "<[^>]*>|&(?:amp|lt|gt|quot|apos|nbsp);|&#[0-9]+;|&#x[0-9a-f]+;"
 
 
 def _tokens_sql(text: str, key: str, source: str) -> str:

@@ -115,7 +115,7 @@ def _bare(c: Column) -> Column:
 
 
 def id_number(c: Column) -> Column:
-    """Digits of an id once all white space is removed; null if anything else is in it. Beyond 18 digits the number is null, not the id bad."""
+    """Digits of an id once all white space is removed; null if anything else is in it."""
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), rf"{BLANK}+", "")
     return F.when(digits.rlike(r"^\d+$"), digits)
 
@@ -128,7 +128,7 @@ def priority_number(c: Column) -> Column:
 
 
 def judged(raw: DataFrame, lines: DataFrame, keep: tuple[str, ...] = ("id", "date_ouverture", "priorite")) -> DataFrame:
-    """All records of both tables: ``rec_id, motif, keep..., id_num, ouverture_us, priorite_num``.
+    """All records of both tables: ``rec_id, motif, keep..., id_num (digits), ouverture_us, priorite_num``.
 
     ``motif`` is null for a record that can be loaded, else its first reason in the order quoting,
     column_count, id, date_ouverture, priorite. Null and blank values are judged as blanks; records
@@ -143,14 +143,17 @@ def judged(raw: DataFrame, lines: DataFrame, keep: tuple[str, ...] = ("id", "dat
         .when(F.col("ouverture_us").isNull(), "date_ouverture")
         .when(F.col("priorite_num") == -1, "priorite")
     )
-    return typed.select("rec_id", reason.alias("motif"), *keep, F.col("id_num").try_cast("long").alias("id_num"), "ouverture_us", "priorite_num")
+    return typed.select("rec_id", reason.alias("motif"), *keep, F.regexp_replace("id_num", r"^0+(?=\d)", "").alias("id_num"), "ouverture_us", "priorite_num")
 
 
 def load_records(raw: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): typed records with all 18 fields, and ``rec_id, motif``."""
+    """(valid, rejected): typed records with all 18 fields, and ``rec_id, motif``.
+
+    ``id`` is a long; one beyond 18 digits is null there and whole in ``id_texte``, which every valid record has.
+    """
     every = judged(raw, lines, FIELDS)
     valid = every.where(F.col("motif").isNull()).select(
-        "rec_id", F.col("id_num").alias("id"), F.timestamp_micros("ouverture_us").cast("timestamp_ntz").alias("date_ouverture"), F.col("priorite_num").alias("priorite"),
+        "rec_id", F.col("id_num").try_cast("long").alias("id"), F.col("id_num").alias("id_texte"), F.timestamp_micros("ouverture_us").cast("timestamp_ntz").alias("date_ouverture"), F.col("priorite_num").alias("priorite"),
         *(f for f in FIELDS if f not in ("id", "date_ouverture", "priorite")),
     )
     return valid, every.where(F.col("motif").isNotNull()).select("rec_id", "motif")
