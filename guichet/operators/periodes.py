@@ -38,6 +38,22 @@ def calendar(spark: SparkSession, begin: str, end: str, granularity: str) -> Dat
     return spark.range(1).select(F.explode(days).alias("debut")).select(period_key(F.col("debut"), granularity).alias("periode"), "debut")
 
 
+# French month names of labels.
+MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+
+
+def labelled(periods: DataFrame, granularity: str) -> DataFrame:
+    """Adds ``fin`` (last day) and a French ``libelle`` to a calendar, whatever the locale of the machines."""
+    day = F.col("debut")
+    month = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month(day) - 1)
+    label = {
+        "jour": F.date_format(day, "dd/MM/yyyy"), "semaine": F.concat(F.lit("S"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), F.lit(" "), F.extract(F.lit("YEAROFWEEK"), day).cast("string")),
+        "trimestre": F.concat(F.lit("T"), F.quarter(day).cast("string"), F.lit(" "), F.year(day).cast("string")), "annee": F.year(day).cast("string"),
+    }.get(granularity, F.concat(month, F.lit(" "), F.year(day).cast("string")))
+    step = F.expr(f"CAST(debut + interval {_STEP.get(granularity, _STEP['mois'])} AS date)")
+    return periods.withColumns({"fin": F.date_sub(step, 1), "libelle": label})
+
+
 def counted(df: DataFrame, when: str, granularity: str, out: str) -> DataFrame:
     return df.where(F.col(when).isNotNull()).groupBy(period_key(F.col(when), granularity).alias("periode")).agg(F.count(F.lit(1)).alias(out))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guichet.operators.instantane import between_days, filled, snapshot
 from guichet.operators.ordre import with_percentiles
-from guichet.operators.periodes import calendar, counted, period_key, with_clamped_stock
+from guichet.operators.periodes import MONTHS, calendar, counted, labelled, period_key, with_clamped_stock
 from guichet.plans.registre import Registre
 from guichet.session import cut
 
@@ -113,6 +113,17 @@ def _stock_at(spark: SparkSession, d: str, day: str) -> DataFrame:
     return t.agg(F.greatest(F.count_if(F.col("date_ouverture") < at) - F.count_if(F.col("statut").isin(*CLOSED) & (F.col("date_resolution") < at)), F.lit(0)).alias("stock"))
 
 
+_MONTHS_SQL = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
+
+
+@query(f"""WITH {_CALENDAR_SQL}, c AS (SELECT CAST(debut AS DATE) AS debut FROM cal)
+ SELECT strftime(debut, '%Y-%m') AS periode, debut, CAST(debut + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS fin, {_MONTHS_SQL}[month(debut)] || ' ' || year(debut) AS libelle FROM c""")
+def period_calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Every month that anything happened in, with its first and last day and its label."""
+    t = snapshot(spark, d, "date_ouverture", "date_resolution", "statut").select("date_ouverture", F.when(F.col("statut").isin(*CLOSED), F.col("date_resolution")).alias("date_resolution"))
+    return labelled(calendar(spark, *_bounds(t, "date_ouverture", "date_resolution"), "mois"), "mois")
+
+
 def _ventilation_sql(c: str) -> str:
     return f"""SELECT {c}, CAST(sum(e) AS BIGINT) AS entrees, CAST(sum(s) AS BIGINT) AS sorties, CAST(sum(e) - sum(s) AS BIGINT) AS solde FROM (
  SELECT {c}, 1 AS e, 0 AS s FROM t WHERE date_ouverture IS NOT NULL UNION ALL

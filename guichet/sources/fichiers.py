@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Headers of an export, the field each fills, and whether it must be there.
 HEADERS = {
@@ -94,9 +95,12 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(path: str) -> Iterator[list[str | None]]:
-    """Rows of the first sheet of an .xlsx file, cells as text: whole numbers without decimals, dates as day counts."""
-    with zipfile.ZipFile(path) as z:
+def sheet_rows(book: str | bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet of an .xlsx or .ods file (a path, or its bytes), cells as text: whole numbers without decimals, dates of .xlsx as day counts."""
+    with zipfile.ZipFile(io.BytesIO(book) if isinstance(book, bytes) else book) as z:
+        if "content.xml" in z.namelist():
+            yield from _open_document_rows(z)
+            return
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             with z.open("xl/sharedStrings.xml") as f:
@@ -121,51 +125,64 @@ def sheet_rows(path: str) -> Iterator[list[str | None]]:
                     elif kind == "s":
                         cells.append(shared[int(value.text)])
                     else:
-                        number = re.fullmatch(r"(-?\d+)\.0*", value.text)
-                        cells.append(number[1] if number else value.text)
+                        cells.append(_plain_number(value.text))
                 yield cells
                 row.clear()
 
 
-class Workbooks(DataSource):
-    """``spark.read.format("classeur").load(path)``: the first sheet of .xlsx files, one task per file, columns by the first file's header."""
+def _plain_number(text: str) -> str:
+    number = re.fullmatch(r"(-?\d+)\.0*", text)
+    return number[1] if number else text
 
-    @classmethod
-    def name(cls) -> str:
-        return "classeur"
 
-    def _paths(self) -> list[str]:
-        return [p for p in self.options.get("path", "").split(",") if p]
-
-    def schema(self):
-        from pyspark.sql.types import StringType, StructField, StructType
-
-        header = next(sheet_rows(self._paths()[0]), [])
-        return StructType([StructField((h or f"colonne{k}").strip(), StringType()) for k, h in enumerate(header)])
-
-    def reader(self, schema) -> DataSourceReader:
-        return _WorkbookReader(self._paths(), len(schema.fields))
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, paths: list[str], width: int):
-        self.paths, self.width = paths, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(partition.value)
-        next(rows, None)
-        for r in rows:
-            yield tuple((r + [None] * self.width)[: self.width])
+def _open_document_rows(z: zipfile.ZipFile) -> Iterator[list[str | None]]:
+    """Rows of the first table of an OpenDocument sheet; repeated cells are written out, trailing empty ones and empty rows left out."""
+    office, table, words = (f"{{urn:oasis:names:tc:opendocument:xmlns:{n}:1.0}}" for n in ("office", "table", "text"))
+    with z.open("content.xml") as f:
+        for _, e in ElementTree.iterparse(f):
+            if e.tag == table + "table":
+                return
+            if e.tag != table + "table-row":
+                continue
+            cells: list[str | None] = []
+            for c in e:
+                if c.tag not in (table + "table-cell", table + "covered-table-cell"):
+                    continue
+                kind, lines = c.get(office + "value-type"), ["".join(p.itertext()) for p in c.iter(words + "p")]
+                value = _plain_number(c.get(office + "value")) if kind in ("float", "currency", "percentage") else c.get(office + "date-value") if kind == "date" else "\n".join(lines) or None
+                times = int(c.get(table + "number-columns-repeated", 1))
+                cells += [value] * (times if value is not None else min(times, 1024))
+            while cells and cells[-1] is None:
+                cells.pop()
+            if cells:
+                yield cells
+            e.clear()
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Workbooks)
-    return by_fields(spark.read.format("classeur").option("path", path).load())[0]
+    """Raw records of the first sheet of .xlsx or .ods files of any file system Spark reads, one task per file; columns by the first file's header."""
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book in batch.column(1):
+                rows = sheet_rows(book.as_py())
+                header = next(rows, [])
+                found = [header] if first else list(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["cellules"])
+
+    header = books.orderBy("path").limit(1).mapInArrow(lambda b: read(b, True), "cellules array<string>").first()
+    if header is None or not header.cellules:
+        raise ValueError("empty file")
+    rows = books.mapInArrow(lambda b: read(b, False), "cellules array<string>")
+    names = [(h or f"colonne{k}").strip() for k, h in enumerate(header.cellules)]
+    wide = rows.select(*[F.get("cellules", F.lit(k)).alias(f"_w{k}") for k in range(len(names))])
+    return by_fields(wide.toDF(*names))[0]
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records of an export by its extension: workbooks, else delimited text."""
-    return read_workbook(spark, path) if path.lower().endswith((".xlsx", ".xlsm")) else read_delimited(spark, path)
+    """Raw records of an export by its extension: workbooks, else delimited text. The binary formats .xls and .xlsb are an error."""
+    kind = path.lower().rsplit(".", 1)[-1]
+    if kind in ("xls", "xlsb"):
+        raise ValueError(f".{kind} can't be read: save it as .xlsx or .ods")
+    return read_workbook(spark, path) if kind in ("xlsx", "xlsm", "ods") else read_delimited(spark, path)

@@ -1,8 +1,11 @@
-"""Writing results: report folders, one plan per assignee, checklists."""
+"""Writing results: report folders, one plan per assignee, snapshots, results kept by their parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.operators.instantane import filled
@@ -36,6 +39,15 @@ def write_plans(tickets: DataFrame, folder: str, kind: str = "json", per_file: i
     salted.write.mode("overwrite").option("maxRecordsPerFile", per_file).partitionBy("technicien").format(kind).save(folder)
 
 
+def kept(spark: SparkSession, folder: str, key: dict[str, str | int | float], build: Callable[[], DataFrame]) -> DataFrame:
+    """A result (profiles, clusters) kept under ``folder`` by its parameters: read if it was written before, else built and written."""
+    path = f"{folder}/{hashlib.sha256(repr(sorted(key.items())).encode()).hexdigest()[:32]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_snapshot(tickets: DataFrame, folder: str) -> None:
     """The stored tickets as Parquet, one folder per import; only the imports at hand are replaced."""
     tickets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(folder)

@@ -102,3 +102,37 @@ def test_upserts_on_a_stream(spark, tmp_path):
         spark.createDataFrame([(1, k, f"s{k}", None, None, None), (k * 10, k, "x", None, None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "stock"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted((r.id, r.statut) for r in spark.read.parquet(str(tmp_path / "stock/v1")).collect()) == [(1, "s2"), (10, "x"), (20, "x")]
+
+
+def test_open_document(spark, tmp_path):
+    ns = " ".join(f'xmlns:{n}="urn:oasis:names:tc:opendocument:xmlns:{n}:1.0"' for n in ("office", "table", "text"))
+    text = lambda v: f'<table:table-cell office:value-type="string"><text:p>{v}</text:p></table:table-cell>'
+    cells = '<table:table-cell office:value-type="float" office:value="42.0"/>' + text("Titre") + '<table:table-cell table:number-columns-repeated="1"/>' + text("Clos") + '<table:table-cell table:number-columns-repeated="16000"/>'
+    body = f'<table:table-row>{"".join(map(text, HEADERS))}</table:table-row><table:table-row>{cells}</table:table-row><table:table-row table:number-rows-repeated="9"><table:table-cell/></table:table-row>'
+    p = tmp_path / "export.ods"
+    with zipfile.ZipFile(p, "w") as z:
+        z.writestr("content.xml", f"<office:document-content {ns}><office:body><office:spreadsheet><table:table>{body}</table:table></office:spreadsheet></office:body></office:document-content>")
+    got = read_export(spark, str(p)).collect()
+    assert len(got) == 1 and got[0].id == "42" and got[0].titre == "Titre" and got[0].groupe is None and got[0].statut == "Clos" and got[0].categorie is None
+    with pytest.raises(ValueError):
+        read_export(spark, str(tmp_path / "alt.xls"))
+
+
+def test_kept_results(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert sorties.kept(spark, str(tmp_path / "memoire"), {"import": 3, "mois": 3}, build).count() == 3
+    assert sorties.kept(spark, str(tmp_path / "memoire"), {"import": 4, "mois": 3}, build).count() == 3 and len(built) == 2
+
+
+def test_stop_table(spark):
+    from guichet.functions.reglages import stop_table
+
+    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    got = stop_table(spark, ["le", "la"], one("mot", " Foo ", None, ""), one("mot", "LA"), one("nom", "Anna Bel-Tom", "X", None)).collect()
+    assert sorted(r.mot for r in got) == ["anna", "bel", "foo", "le", "tom"]
