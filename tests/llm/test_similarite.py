@@ -214,3 +214,52 @@ def test_large_classes_are_joined_in_pieces(spark, monkeypatch):
     assert sorted(tuple(r) for r in expand_pairs(members, links).collect()) == sorted(want)
     placed, big = similarite._pieces(members)
     assert {r.classe: r.pieces for r in big.collect()} == {1: 5, 2: 4} and max(r["count"] for r in placed.groupBy("classe", "piece").count().collect()) <= 16
+
+
+def cells_in_process(n, bounds):
+    """Cells of n sets over one small vocabulary, a tenth of them edited copies; the classes are the row numbers. And the sets."""
+    rnd = random.Random(3)
+    vocabulary = [rnd.getrandbits(40) for _ in range(500)]
+    sets = []
+    while len(sets) < n:
+        base = sets[rnd.randrange(len(sets))] if sets and rnd.random() < 0.1 else []
+        kept = [w for w in base if rnd.random() > 0.12]
+        sets.append({*kept, *(vocabulary[int(500 * rnd.random() ** 1.5)] for _ in range(rnd.randrange(25, 60) if not kept else 5))})
+    lengths = np.array([len(s) for s in sets])
+    h = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    row, h, pos, end = similarite._prefixes(h, lengths, np.bincount(similarite._bucket(h), minlength=1 << similarite.BUCKET_BITS), bounds)
+    _, first, key, after, _ = next(similarite._placed(h, end, [], bounds))
+    order = np.argsort(key, kind="stable")
+    first, key, after = first[order], key[order], after[order]
+    sketch = similarite._sketches(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), lengths).view(np.int64)[row[first]]
+    words = ((h >> np.uint64(22)) & np.uint64(0xFFFF))[similarite._spread(after, end[first])[1]]
+    columns = [key, np.full(len(key), 1 << 60), np.zeros(len(key), np.int32), row[first], lengths[row[first]], pos[first], *sketch.T]
+    return similarite._Cells([(columns, end[first] - after, words)], bounds), sets
+
+
+@pytest.mark.parametrize(("threshold", "least", "few", "many"), [(0.6, 20, 32, 2_000), (0.6, 20, 1, 3), (0.55, 25, 2, 2_000), (0.6, 10, 1, 3), (0.6, 1, 1, 3)])
+def test_no_pair_is_lost_in_split_groups(monkeypatch, threshold, least, few, many):
+    monkeypatch.setattr(similarite, "FEW", few)
+    monkeypatch.setattr(similarite, "MANY", many)
+    cells, sets = cells_in_process(600, Bounds(threshold, least))
+    found = {(int(a), int(b)) for x, y in cells.pairs() for a, b in zip(x, y)}
+    want = {(a, b) for a, b in combinations(range(600), 2) if min(len(sets[a]), len(sets[b])) >= least and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+    assert len(want) > 20 and want <= found
+
+
+def test_few_of_the_pairs_of_a_cell_are_compared():
+    """Texts over one small vocabulary share many single words; groups of several words hold a small part of those pairs."""
+    cells, _ = cells_in_process(16_000, Bounds(0.6, 20))
+    assert sum(len(a) for a, _ in cells.pairs()) > 0
+    size = np.bincount(cells.cell)
+    assert 0 < cells.met < 0.1 * (size * (size - 1) // 2).sum()
+
+
+@pytest.mark.parametrize("cell", [2, 25])
+def test_cells_are_split_by_next_words_on_the_cluster(spark, monkeypatch, cell):
+    monkeypatch.setattr(similarite, "CELL", cell)
+    rows = [r for r in corpus(9) if len(words_of(*r[1:])) >= 20]
+    assert Bounds(0.6, 20).depth == 4
+    members, links = linked_classes(frame(spark, rows), "id", ["titre", "corps"], 20, 0.6)
+    got = [(r.id_a, r.id_b) for r in expand_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 20, 0.6)
