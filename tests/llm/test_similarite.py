@@ -263,3 +263,12 @@ def test_cells_are_split_by_next_words_on_the_cluster(spark, monkeypatch, cell):
     members, links = linked_classes(frame(spark, rows), "id", ["titre", "corps"], 20, 0.6)
     got = [(r.id_a, r.id_b) for r in expand_pairs(members, links).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 20, 0.6)
+
+
+def test_sketches_are_short_and_never_exceed_the_difference():
+    rnd = random.Random(8)
+    sets = [{rnd.getrandbits(40) for _ in range(rnd.randrange(1, 90))} for _ in range(40)]
+    sets += [s ^ {rnd.getrandbits(40) for _ in range(9)} for s in sets]
+    sketch = similarite._sketches(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), np.array([len(s) for s in sets]))
+    assert sketch.shape == (80, 3)  # 24 bytes of each row sent
+    assert all(np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= len(sets[a] ^ sets[b]) for a, b in combinations(range(80), 2))
