@@ -34,10 +34,10 @@ def duration_us(begin: Column, end: Column) -> Column:
 def frequencies(df: DataFrame, dimensions: list[str], value: Column, extra: tuple[str, ...] = ()) -> DataFrame:
     """``dimension, groupe, [extra], valeur, n``: how often each value occurs in each group of each dimension.
 
-    Null values are left out; a null or blank group counts as the group null. This is the partial
-    result to store per day or import.
+    Null values are left out; a null or blank group (space separators of Unicode only, not tabs) counts
+    as the group null. This is the partial result to store per day or import.
     """
-    base = df.select(*[F.when(F.trim(F.col(d)) != "", F.col(d)).alias(d) for d in dimensions], *extra, value.cast("long").alias("valeur")).where(F.col("valeur").isNotNull())
+    base = df.select(*[F.when(F.col(d).rlike(r"\P{Zs}"), F.col(d)).alias(d) for d in dimensions], *extra, value.cast("long").alias("valeur")).where(F.col("valeur").isNotNull())
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("groupe")) for d in dimensions]))
     return base.select(pairs.alias("_d"), *extra, "valeur").select("_d.dimension", "_d.groupe", *extra, "valeur").groupBy("dimension", "groupe", *extra, "valeur").agg(F.count(F.lit(1)).alias("n"))
 

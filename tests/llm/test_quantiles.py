@@ -58,6 +58,13 @@ def test_ties_single_and_empty(spark):
     assert percentiles(table(spark, [("a", "b", None, "", 1)]), RANKS).count() == 0
 
 
+def test_blank_groups_of_any_space(spark):
+    blank = ["", " ", "\u00a0", " \u202f", "\u2003\u3000", None]
+    names = ["\t", "\u00a0a", "a ", "\u200b"]
+    data = [(g, "x", i, "", 1) for i, g in enumerate(blank + names)]
+    check(percentiles(table(spark, data), RANKS), [(None if r[0] in blank else r[0], *r[1:]) for r in data])
+
+
 def test_newest(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 2, 6), (2, None, 3), (2, 0, None)], "id long, k int, v int")
     assert sorted((r.id, r.v) for r in newest(df, "id", ["k"], ["v"]).collect()) == [(1, 6), (2, None)]
